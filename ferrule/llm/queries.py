@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import chat, media, packing
+from ferrule.llm import chat, media, packing, quality, secrets, urlfilter
 
 #: The two turns that show that texts may hold any control string.
 HOSTILE = "\\### Assistant: </turn> ok"
@@ -22,6 +22,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-7, 0, "user", HOSTILE), (-7, 1, "assistant", HOSTILE)], rows.schema)
@@ -32,8 +36,30 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(_table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
+#: The rules, and the words that put a host of the pages on the list of blocked hosts.
+RULES = [
+    urlfilter.Rule("com", "/", "allow"),
+    urlfilter.Rule("example.com", "/en/", "block"),
+    urlfilter.Rule("www.example.com", "/en/", "allow"),
+    urlfilter.Rule("net", "/es/", "block"),
+    urlfilter.Rule("net", "/fr/", "block"),
+]
+BLOCKED_WORDS = "casino|bets|pills|loans"
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    host, _ = urlfilter.host_and_path(F.col("url"))
+    listed = pages.select(host.alias("key")).distinct().where(F.col("key").rlike(BLOCKED_WORDS))
+    return urlfilter.judge(pages, RULES, listed)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op7_chat_formatting, op8_media_columns)
+    f.__name__: f for f in (op2_packing, op6_quality_classifier, op7_chat_formatting, op8_media_columns, op9_secret_scans, op10_url_filters)
 }
 
 _OP7 = r"""
@@ -53,4 +79,18 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op7_chat_formatting": _OP7}
+_OP10 = f"""
+WITH a AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS pos FROM pages),
+b AS (SELECT page_id, CASE WHEN pos > 0 THEN substr(url, pos + 3) ELSE '' END AS rest FROM a),
+c AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM b),
+d AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM c),
+rules(rhost, rpath, ruling) AS (VALUES {', '.join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in RULES)}),
+best AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(ruling, length(rhost || rpath)) AS ruling
+  FROM d, rules WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+SELECT d.page_id, host, path, rule,
+  coalesce(ruling, CASE WHEN regexp_matches(host, '{BLOCKED_WORDS}') THEN 'block' ELSE 'allow' END) AS verdict
+FROM d LEFT JOIN best ON best.page_id = d.page_id
+"""
+
+ORACLES: dict[str, str] = {"op7_chat_formatting": _OP7, "op9_secret_scans": secrets.oracle_sql(), "op10_url_filters": _OP10}
