@@ -72,6 +72,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_PUNCTUATION = _SPACE.copy()
+_PUNCTUATION[[c for c in range(128) if not chr(c).isalnum()]] = True
 #: Odd factors, one for each position of a sequence.
 FACTORS = _RNG.integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
@@ -94,10 +96,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _hash_block(block: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def _hash_block(block: bytes, lower: bool, bare: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and start bytes of the words of a block."""
     data = np.frombuffer(block, np.uint8)
-    space = _SPACE[data]
+    space = (_PUNCTUATION if bare else _SPACE)[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True]))))
     start, end = edge[::2], edge[1::2]
     sums = np.zeros(len(data) + 1, np.uint64)
@@ -116,15 +118,16 @@ def _pieces(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def word_hashes(texts: list[bytes], lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def word_hashes(texts: list[bytes], lower: bool = False, bare: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For chunks of texts: (index of the first text, hashes of all words, bounds of each text's words in them).
 
-    Words are runs of bytes other than 0x20 and 0x09-0x0D; lower folds A-Z alone.
+    Words are runs of bytes other than 0x20 and 0x09-0x0D, or, if bare, runs of ASCII letters, digits and bytes beyond
+    ASCII; lower folds A-Z alone.
     """
     i = 0
     while i < len(texts):
         if len(texts[i]) > CHUNK_BYTES:
-            words = np.concatenate([_hash_block(p, lower)[0] for p in _pieces(texts[i])])
+            words = np.concatenate([_hash_block(p, lower, bare)[0] for p in _pieces(texts[i])])
             yield i, words, np.array([0, len(words)])
             i += 1
             continue
@@ -132,7 +135,7 @@ def word_hashes(texts: list[bytes], lower: bool = False) -> Iterator[tuple[int,
         while j < len(texts) and size + len(texts[j]) + 1 <= CHUNK_BYTES + 1:
             size += len(texts[j]) + 1
             j += 1
-        words, start = _hash_block(b" ".join(texts[i:j]), lower)
+        words, start = _hash_block(b" ".join(texts[i:j]), lower, bare)
         offsets = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts[i:j]])))
         yield i, words, np.searchsorted(start, offsets)
         i = j

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import chat, media, packing, quality, secrets, urlfilter
+from ferrule.llm import chat, decontam, media, minhash, packing, quality, secrets, urlfilter
 
 #: The two turns that show that texts may hold any control string.
 HOSTILE = "\\### Assistant: </turn> ok"
@@ -18,10 +18,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85, symbols=64)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.found_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -59,7 +68,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op6_quality_classifier, op7_chat_formatting, op8_media_columns, op9_secret_scans, op10_url_filters)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_packing, op3_decontamination, op6_quality_classifier, op7_chat_formatting, op8_media_columns, op9_secret_scans, op10_url_filters)
 }
 
 _OP7 = r"""
