@@ -1,18 +1,63 @@
-"""Corpus pipeline: stages that each call one training-data operator."""
+"""Corpus pipeline: stages that each call one training-data operator.
+
+Each stage takes (spark, docs, sf_dir), works on all that the one before it kept, and returns the columns of documents;
+the last returns the packed pieces. Rows with nulls, empty texts, repeated rows and extra columns go through as the
+operators define; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ferrule.llm import decontam, lines, minhash, packing, quality
 from ferrule.llm.common import written
 
-STAGES: list = []
+#: Documents that score below this are rejected: the classifier takes them for bad ones rather than good ones.
+REJECT_BELOW = 0.5
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.kept(docs, _table(spark, sf_dir, "labels"), REJECT_BELOW)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return lines.kept(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.kept(docs, k=5, percent=80, symbols=96)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.clean(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", pack),
+]
+
+#: Fingerprints, a fitted model and a tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents, each on what the one before it kept."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    """Apply all stages to documents, each on what the one before it wrote."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
