@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def scan(spark: SparkSession, root: str, glob: str | None = None, exclude: list[str] | None = None) -> DataFrame:
     """path, dir, name, ext, size and content of all files under root.
 
-    content is read only by plans that use it; a count or a listing prunes it.
+    content is read only by plans that use it; a count or a listing prunes it. Spark's file scan leaves out empty files.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
