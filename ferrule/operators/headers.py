@@ -53,3 +53,31 @@ def mpeg_audio(head: Column) -> Column:
         table_lookup(version.cast("int"), MPEG_VERSIONS).alias("version"), (4 - bit_field(head, 17, 2)).cast("int").alias("layer"), (bit_field(head, 16, 1) == 0).alias("has_crc"),
         kbps.alias("kbps"), F.floor(table_lookup(rate.cast("int"), MPEG_RATES) / divided).alias("rate"), table_lookup(bit_field(head, 6, 2).cast("int"), MPEG_MODES).alias("mode"),
     )
+
+
+# The method nibble of the encoder's block.
+LAME_METHODS = [None, "CBR", "ABR", "VBR", "VBR", "VBR", "VBR", None, "CBR", "ABR"]
+
+
+def xing(block: Column) -> Column:
+    """Fields of an MPEG audio file's Xing block, from its first byte; frames, bytes and so on follow four flags."""
+    flags = be_uint(block, 4, 4)
+    has = [flags.bitwiseAND(F.lit(1 << i)) != 0 for i in range(4)]
+    sizes = [F.when(h, n).otherwise(0) for h, n in zip(has, (4, 4, 100, 4), strict=True)]
+    places = [F.lit(8), F.lit(8) + sizes[0], F.lit(8) + sizes[0] + sizes[1], F.lit(8) + sizes[0] + sizes[1] + sizes[2]]
+    toc = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: be_uint(block, places[2] + i, 1))
+    falls = F.exists(F.sequence(F.lit(1), F.lit(99)), lambda i: F.get(toc, i) < F.get(toc, i - 1))
+    quality = F.when(has[3], be_uint(block, places[3], 4))
+    method = table_lookup(bit_field(be_uint(block, 129, 1), 0, 4).cast("int"), LAME_METHODS)
+    preset = bit_field(be_uint(block, 146, 2), 0, 11)
+    return F.struct(
+        F.when(has[0], be_uint(block, places[0], 4)).alias("frames"), F.when(has[1], be_uint(block, places[1], 4)).alias("bytes"), F.when(has[2], ~falls).alias("toc_rises"), quality.alias("quality"),
+        F.rtrim(F.substring(block, 121, 9).cast("string")).alias("encoder"), method.alias("method"), be_uint(block, 140, 1).alias("kbps"), preset.alias("preset"),
+        F.when(method == "VBR", F.concat(F.lit("V"), (10 - F.ceil(quality / 10)).cast("string"))).when(method == "CBR", F.concat(F.lit("C"), be_uint(block, 140, 1).cast("string"))).when(method == "ABR", F.concat(F.lit("A"), preset.cast("string"))).alias("profile"),
+    )
+
+
+def aiff(common: Column) -> Column:
+    """Fields of a COMM chunk's body; the rate is an 80-bit float."""
+    exponent, mantissa = be_uint(common, 8, 2).bitwiseAND(F.lit(0x7FFF)), be_uint(common, 10, 4).cast("double")
+    return F.struct(be_uint(common, 0, 2).alias("channels"), be_uint(common, 2, 4).alias("frames"), be_uint(common, 6, 2).alias("bits"), (mantissa * F.pow(F.lit(2.0), exponent - 16383 - 31)).alias("rate"))

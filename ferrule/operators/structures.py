@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.functions.bytesfn import read_vint
+from ferrule.functions.bytesfn import CRCS, crc, read_varint, read_vint
 
 Piece = tuple[int, str, int, int, int | None, int | None, str | None]
 Walker = Callable[[bytes], Iterator[Piece]]
@@ -153,7 +153,25 @@ def flac(data: bytes) -> Iterator[Piece]:
             yield from _comments(body, at + 4)
         at += 4 + size
     if at < len(data):
-        yield piece("audio", at, len(data) - at, stored=int.from_bytes(data[-2:], "big"))
+        yield from _flac_audio(data, at)
+
+
+def _flac_audio(data: bytes, at: int) -> Iterator[Piece]:
+    """The first frame's header with its CRC-8, and all frames with the last CRC-16.
+
+    A frame ends in its own CRC-16, which brings the remainder back to 0, so one pass over all frames checks the last.
+    """
+    if len(data) - at < 10 or data[at] != 0xFF or data[at + 1] & 0xFC != 0xF8:
+        yield piece("audio", at, len(data) - at, note="!audio data not found")
+        return
+    number, size = read_varint(data, at + 4)
+    block, rate = data[at + 2] >> 4, data[at + 2] & 15
+    end = at + 4 + size + {6: 1, 7: 2}.get(block, 0) + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if number is None or end >= len(data):
+        yield piece("audio", at, len(data) - at, note="!badly formed frame number")
+        return
+    yield piece("frame", at, end + 1 - at, 1, data[end], crc(data[at:end], *CRCS["crc8"]), str(number))
+    yield piece("audio", at, len(data) - at, stored=int.from_bytes(data[-2:], "big"), actual=crc(data[at:-2], *CRCS["crc16n"]))
 
 
 def _comments(body: bytes, start: int) -> Iterator[Piece]:
@@ -286,9 +304,26 @@ def mp3(data: bytes) -> Iterator[Piece]:
     if sync > start:
         yield piece("dead", start, sync - start, note="!dead bytes")
     yield piece("audio", sync, end - sync, note="!missing audio" if sync + 1 >= end else data[sync : sync + 4].hex())
+    yield from _lame(data, sync, end)
     yield from reversed(tail)
 
 
+def _lame(data: bytes, sync: int, end: int) -> Iterator[Piece]:
+    """The encoder's block in the first frame, and the two CRC-16s that it stores: of itself, and of the audio after it."""
+    if sync + 4 > end:
+        return
+    mono, first = data[sync + 3] >> 6 == 3, data[sync + 1] & 8
+    at = sync + (21 if mono else 36) if first else sync + (13 if mono else 21)
+    if data[at : at + 4] not in (b"Xing", b"Info"):
+        return
+    version = data[at + 120 : at + 129].rstrip(b"\0 ").decode("latin-1")
+    yield piece("Xing" if data[at : at + 4] == b"Xing" else "Info", at, min(120, end - at), 1, note=version or None)
+    if data[at + 120 : at + 124] == b"LAME" and at + 156 <= end:
+        stored = [int.from_bytes(data[at + k : at + k + 2], "big") for k in (154, 152)]
+        yield piece("LAME header", at + 120, 36, 1, stored[0], crc(data[sync : at + 154], *CRCS["crc16r"]))
+        yield piece("LAME data", at + 156, end - at - 156, 1, stored[1], crc(data[at + 156 : end], *CRCS["crc16r"]))
+
+
 @walker("gif")
 def gif(data: bytes) -> Iterator[Piece]:
     yield piece("header", 0, min(13, len(data)), note=CUT if len(data) < 13 else f"{int.from_bytes(data[6:8], 'little')}x{int.from_bytes(data[8:10], 'little')}")
