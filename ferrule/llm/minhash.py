@@ -6,10 +6,12 @@ signature is split into radius // 2 + 1 chunks; by pigeonhole every pair within
 wrong symbol, so each chunk is indexed once for each symbol that may be wrong (that symbol left out), and every pair within
 the radius meets in a bucket, without exception.
 
-Buckets are never expanded into all pairs. Documents with equal sets are one node. First each node is compared with the
-smallest node of its buckets only; nodes so linked form components. Then only buckets that still hold several components
-are joined, only across components, and only pairs whose two low bit planes allow the radius. Links are confirmed on full
-shingle sets. A link that is not tested this way joins two nodes that are in one component already.
+Buckets are never expanded into all pairs. Documents with equal sets are one node. First each node is compared with two
+nodes of its buckets only, the smallest and the one nearest to the bucket's majority; nodes so linked form components. Then
+nodes of buckets that still hold several components are compared across components: two sets can only link if they share
+one of their rarest shingles (as many as they may differ in, plus one) early enough in both, so nodes are joined on these,
+and pairs count whose bit planes lie within the radius. Links are confirmed on full shingle sets. A link that is not tested
+joins two nodes that are in one component already. What is rare is estimated on SAMPLE nodes; any order is exact.
 
 Defined results: a null text, or one without words, has no shingles and links with nothing; a text of fewer than k words
 is one shingle; rows are documents, also if they share an id, and get a row each; component_id is the smallest id that is
@@ -30,6 +32,8 @@ from pyspark.sql.window import Window
 from ferrule.llm.common import FACTORS, components, keep_known, mix, sequence_hashes, word_hashes, written
 
 MISS = 1e-5
+#: Nodes on which the frequency of shingles is estimated.
+SAMPLE = 4096
 _SEEDS = np.random.default_rng(85).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 NO_ID = -(2**63)
 
@@ -136,12 +140,15 @@ def _distance(a: str, b: str, words: int) -> Column:
     return sum((F.bit_count(F.col(f"{a}p{i}").bitwiseXOR(F.col(f"{b}p{i}")).bitwiseOR(F.col(f"{a}p{i + half}").bitwiseXOR(F.col(f"{b}p{i + half}")))) for i in range(half)), F.lit(0))
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets are similar enough."""
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _texts(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the nodes in needed (column node, distinct)."""
     places = written(nodes.join(needed, "node", "left_semi").select("node", "id0", "th"), "near-places")
-    texts = keep_known(_keyed(docs), places.select("id0", "th"), ["id0", "th"]).select("id0", "th", "text")
-    texts = written(texts.join(places, ["id0", "th"]).select("node", "text").dropDuplicates(["node"]), "near-texts")
+    texts = keep_known(_keyed(docs), places.select("id0", "th"), ["id0", "th"]).select("id0", "th", F.col("text").cast("binary").alias("text"))
+    return written(texts.join(places, ["id0", "th"]).select("node", "text").dropDuplicates(["node"]), "near-texts")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets are similar enough."""
     both = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +160,83 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, perc
                 good = [100 * n >= percent * (len(x) + len(y) - n) for n, x, y in zip(same, left, right, strict=True)]
                 yield part.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("a", "b", F.col("left").cast("binary"), F.col("right").cast("binary")).mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+
+
+def _frequent(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that at least two of SAMPLE nodes have, sorted, and in how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in shingle_sets(batch.column(0).to_pylist(), k):
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["shingle"])
+
+    names = texts.select("node").orderBy(F.xxhash64("node"), "node").limit(SAMPLE)
+    some = texts.join(F.broadcast(names), "node").select("text").repartition(8)
+    got = some.mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(1_000_000).toArrow()
+    shingles, counts = (got.column(i).to_numpy() for i in (0, 1))
+    order = np.argsort(shingles.view(np.uint64))
+    return shingles.view(np.uint64)[order], counts[order]
+
+
+def _rarest(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, shingle, at, size): the rarest shingles of each set, at least one of which any similar set has too."""
+    shared = texts.sparkSession.sparkContext.broadcast(_frequent(texts, k))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = shared.value
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            for i, s in enumerate(shingle_sets(batch.column(1).to_pylist(), k)):
+                n = len(s) - -(-percent * len(s) // 100) + 1
+                place = np.searchsorted(known, s)
+                place[place == len(known)] = 0
+                often = np.where(known[place] == s, counts[place], 0) if len(known) else np.zeros(len(s), np.int64)
+                first = s[np.lexsort((s, often))[:n]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, names[i])), pa.array(first.view(np.int64)), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, len(s), np.int32))], ["node", "shingle", "at", "size"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingle long, at int, size int")
+
+
+def _across(mixed: DataFrame, texts: DataFrame, k: int, percent: int, radius: int, words: int) -> DataFrame:
+    """Pairs of nodes of different components (node, c, planes) that may link: shared rare shingles, and within the radius."""
+    bits = [f"p{i}" for i in range(words)]
+    of_shingle = Window.partitionBy("shingle")
+    rare = _rarest(texts, k, percent).join(mixed, "node")
+    rare = rare.withColumns({"least": F.min("c").over(of_shingle), "most": F.max("c").over(of_shingle)}).where("least < most")
+    rare = rare.withColumn("same", F.count("*").over(Window.partitionBy("shingle", "c"))).withColumn("main", F.max(F.struct("same", "c")).over(of_shingle)["c"])
+    rare = written(rare.select("shingle", "node", "at", "size", "c", "main", *bits), "near-rare")
+    others = rare.where("c <> main").select("shingle", *(F.col(x).alias(f"x{x}") for x in ("node", "at", "size", "c", *bits)))
+    different = (F.col("xc") != F.col("c")) & ((F.col("c") == F.col("main")) | (F.col("xnode") < F.col("node")))
+    left = F.least(F.col("size") - F.col("at"), F.col("xsize") - F.col("xat"))  # no more can be shared, if this is the first
+    enough = left * (100 + percent) >= (F.col("size") + F.col("xsize")) * percent
+    more = others.join(rare, "shingle").where(different & enough & (_distance("x", "", words) <= radius))
+    return more.select(F.least("xnode", "node").alias("a"), F.greatest("xnode", "node").alias("b")).distinct()
+
+
+def _hubs(buckets: DataFrame, radius: int, words: int) -> DataFrame:
+    """(a, b): each node with up to three nodes of its buckets.
+
+    These are the nearest of the buckets' smallest nodes, and, of the nodes next to their bucket's majority, the nearest and
+    that of the largest bucket.
+    """
+    bits = [f"p{i}" for i in range(words)]
+    planes_of = [f"p{i}" for i in range(words // 2)]
+    ones = [F.sum(F.shiftright(p, b).bitwiseAND(F.lit(1))).alias(f"{p}_{b}") for p in planes_of for b in range(64)]
+    sums = buckets.groupBy("key").agg(F.count("*").alias("n"), *ones)
+    power = lambda b: F.lit((1 << b) - (1 << 64) if b == 63 else 1 << b).cast("long")
+    major = [F.array(*(F.when(F.col(f"{p}_{b}") * 2 > F.col("n"), power(b)).otherwise(F.lit(0).cast("long")) for b in range(64))) for p in planes_of]
+    summed = [F.aggregate(x, F.lit(0).cast("long"), lambda acc, v: acc.bitwiseOR(v)).alias(f"m{i}") for i, x in enumerate(major)]
+    near = buckets.join(sums.select("key", "n", *summed), "key")
+    off = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"m{i}"))) for i, p in enumerate(planes_of)), F.lit(0))
+    of_key = Window.partitionBy("key")
+    near = near.withColumn("off", off).withColumns({"mid": F.min(F.struct("off", "node", *bits)).over(of_key), "low": F.min(F.struct("node", *bits)).over(of_key)})
+    pairs = None
+    for name, first in (("mid", F.lit(0)), ("mid", -F.col("n")), ("low", F.lit(0))):
+        one = near.select("node", first.alias("first"), *bits, F.col(f"{name}.node").alias("hub"), *(F.col(f"{name}.{b}").alias(f"hub_{b}") for b in bits)).where("node <> hub")
+        one = one.withColumn("off", _distance("", "hub_", words)).where(F.col("off") <= radius).groupBy("node").agg(F.min(F.struct("first", "off", "hub"))["hub"].alias("hub"))
+        pairs = one if pairs is None else pairs.union(one)
+    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, symbols: int = 96) -> DataFrame:
@@ -173,22 +256,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, symbols: int
     shared = _index(nodes, symbols, chunks).withColumn("n", F.count("*").over(of_key)).where("n > 1")
     buckets = written(shared.select("key", "node").join(nodes.select("node", *bits), "node"), "near-buckets")
 
-    hub = buckets.withColumn("hub", F.min(F.struct("node", *bits)).over(of_key)).select("node", *bits, F.col("hub.node").alias("a"), *(F.col(f"hub.{b}").alias(f"hub_{b}") for b in bits))
-    first = hub.where((F.col("a") < F.col("node")) & (_distance("", "hub_", words) <= radius)).groupBy("node").agg(F.min("a").alias("a"))
-    first = written(first.select("a", F.col("node").alias("b")), "near-first")
-    links = written(_confirmed(first, nodes, docs, k, percent), "near-links")
+    first = written(_hubs(buckets, radius, words), "near-first")
+    texts = _texts(first.select(F.col("a").alias("node")).union(first.select("b")).distinct(), nodes, docs)
+    links = written(_confirmed(first, texts, k, percent), "near-links")
     labels = components(links)
 
     marked = buckets.join(labels, "node", "left").withColumn("c", F.coalesce("label", "node")).drop("label")
     marked = marked.withColumns({"least": F.min("c").over(of_key), "most": F.max("c").over(of_key)}).where("least < most")
-    marked = marked.withColumn("size", F.count("*").over(Window.partitionBy("key", "c"))).withColumn("main", F.max(F.struct("size", "c")).over(of_key)["c"])
-    mixed = written(marked.select("key", "node", "c", "main", *bits), "near-mixed")
-    others = mixed.where("c <> main").select("key", F.col("node").alias("x"), F.col("c").alias("xc"), *(F.col(b).alias(f"x{b}") for b in bits))
-    across = (F.col("xc") != F.col("c")) & ((F.col("c") == F.col("main")) | (F.col("x") < F.col("node")))
-    more = others.join(mixed, "key").where(across & (_distance("x", "", words) <= radius))
-    more = more.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = written(more, "near-more")
-    links = links.union(_confirmed(more, nodes, docs, k, percent))
+    mixed = written(marked.select("node", "c", *bits).distinct(), "near-mixed")
+    texts = _texts(mixed.select("node"), nodes, docs)
+    more = written(_across(mixed, texts, k, percent, radius, words).join(first, ["a", "b"], "left_anti"), "near-more")
+    links = links.union(_confirmed(more, texts, k, percent))
     labels = components(links)
 
     named = nodes.join(labels, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("c"))
