@@ -79,4 +79,4 @@ def test_least_squares_never_goes_negative_and_fits():
     for c, v in zip(columns, x, strict=True):
         for a in c:
             fitted[a] += v
-    assert abs(fitted[54] - 20) < 1
+    assert all(abs(fitted[k] - n) < 10 for k, n in counts.items())
