@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The layouts that are known. "turns" lists (role or @path of the role, path of the text), left out where
-# the text is empty and the role is in "optional"; "each" names a list of messages, to whose elements the paths apply.
+# the text is empty and the role is in "optional"; "each" names a list of messages, to whose elements the paths apply;
+# "rename" brings other makers' role names to ours.
 LAYOUTS = [
     {"turns": [("@role", "text")]},
     {"turns": [("@role", "content")]},
@@ -36,8 +37,8 @@ LAYOUTS = [
     {"turns": [("system", "instruction"), ("user", "input"), ("assistant", "output")], "optional": ["user"]},
     {"each": "messages", "turns": [("@role", "content")]},
     {"each": "messages", "turns": [("@role", "text")]},
-    {"each": "conversations", "turns": [("@from", "value")]},
-    {"each": "data.turns", "turns": [("@speaker", "utterance")]},
+    {"each": "conversations", "turns": [("@from", "value")], "rename": True},
+    {"each": "data.turns", "turns": [("@speaker", "utterance")], "rename": True},
 ]
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
@@ -88,7 +89,7 @@ def turns_of(record: str | None) -> tuple[str | None, list[tuple[str, str]] | No
             text = _text(_at(item, path))
             name = _text(_at(item, role[1:])) if role[0] == "@" else role
             if text or role not in layout.get("optional", ()):
-                out.append((ROLES.get(name, name), text))
+                out.append((ROLES.get(name, name) if layout.get("rename") else name, text))
     return key, out
 
 
