@@ -108,7 +108,7 @@ def _passes(docs: DataFrame, benchmark: DataFrame, most: int, step: Callable, sc
 
 
 def found_items(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """doc_id, contaminated, and item_ids (those found) of every document."""
+    """doc_id, contaminated, kept (its contrary), and item_ids (those found) of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     start = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).cast("binary").alias("raw"), F.array().cast("array<long>").alias("item_ids"))
 
@@ -117,7 +117,8 @@ def found_items(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(new, pa.list_(pa.int64()))], ["doc_id", "raw", "item_ids"])
 
     out = _passes(start, benchmark, block_items, step, f"doc_id {kind}, raw binary, item_ids array<long>")
-    return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids")
+    found = F.size("item_ids") > 0
+    return out.select("doc_id", found.alias("contaminated"), (~found).alias("kept"), "item_ids")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
