@@ -7,7 +7,8 @@ a candidate only if the shorter window that stands for it repeats in another tex
 levels come before. The doubling ends at `window`, or sooner if no candidate survives.
 
 Texts that are equal as a whole are settled by their ids and stand as one text in all levels. At the full length each
-candidate is a row; the least id of a window decides. Hashes of the full length have 128 bits.
+candidate is a row; the least id of a window decides. Hashes of the full length have 128 bits. Its least
+id is found with partial aggregates and joined back to its rows, so a window that many texts share never fills one task.
 
 Defined results: a null or empty text has no words; rows with equal ids do not remove from each other; a null id is larger
 than all others, so it loses words and takes none; a text shorter than the window keeps all words; an empty table gives
@@ -79,7 +80,8 @@ def _anchors(texts: DataFrame, short: int, window: int, before: int | None) -> D
                 where = np.flatnonzero(stands & (hashes != _NEVER))
                 own = np.searchsorted(bounds, where, "right") - 1
                 found, at = np.unique(np.stack([hashes[where], own.astype(np.uint64)], axis=1), axis=0).T if len(where) else (hashes[:0], hashes[:0])
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64) if found.flags.c_contiguous else np.ascontiguousarray(found).view(np.int64)), pa.array(names[first + at.astype(np.int64)])], ["hash", "th"])
+                found = np.ascontiguousarray(found).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(names[first + at.astype(np.int64)])], ["hash", "th"])
 
     return texts.mapInArrow(run, "hash long, th long")
 
@@ -118,16 +120,16 @@ def covered_windows(docs: DataFrame, window: int = 50, levels: int = 1) -> DataF
             source = texts.select("th", F.col("text").cast("binary").alias("raw"))
         else:
             source = _with_known(texts, known).select("th", "raw", "known")
-        anchors = _anchors(source, short, window, before)
-        same = Window.partitionBy("hash")
-        repeated = anchors.withColumns({"low": F.min("th").over(same), "high": F.max("th").over(same)}).where("low < high")
+        same = Window.partitionBy("hash")  # no hash has more than one row for each text, of dozens
+        repeated = _anchors(source, short, window, before).withColumns({"low": F.min("th").over(same), "high": F.max("th").over(same)}).where("low < high")
         known = repeated.groupBy("th").agg(F.collect_set("hash").alias("known"))
-        known = written(known.join(firsts, "th") if level == 1 else known.join(firsts, "th"), "repeats")
+        known = written(known.join(firsts, "th"), "repeats")
         before = short
         if known.isEmpty():
             break
-    rows = _windows(_with_known(texts, known).select("th", "raw", "known", "id0"), before, window)
-    taken = rows.withColumn("least", F.min("id0").over(Window.partitionBy("h1", "h2"))).where("least < id0")
+    rows = written(_windows(_with_known(texts, known).select("th", "raw", "known", "id0"), before, window), "windows")
+    shared = rows.groupBy("h1", "h2").agg(F.min("id0").alias("least"), F.max("id0").alias("most")).where("least < most")
+    taken = rows.join(shared.select("h1", "h2", "least"), ["h1", "h2"]).where("least < id0")
     tag = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag")
     return taken.select("id0", tag, F.shiftright("at", 32).cast("int").alias("start")).groupBy("id0", "tag").agg(F.collect_set("start").alias("starts"))
 
