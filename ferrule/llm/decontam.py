@@ -5,8 +5,9 @@ so a substituted word spoils few seeds. The seeds of the benchmark are joined wi
 the two word sequences are laid over each other: an item is found if some run of WINDOW aligned words (of the whole item,
 if it is shorter) agrees in at least four fifths of its words.
 
-MASKS find every such run with up to two wrong words (tested exhaustively); runs of fewer than eight words need a seed of
-their own length, so they are found exactly only. The benchmark is joined in blocks of at most BLOCK_ITEMS items, each
+MASKS find every such run with up to two wrong words (tested exhaustively); items of five to seven
+words may have one wrong word and are also hashed whole with each position left out, shorter ones are found exactly only, as
+four fifths of them are all their words. The benchmark is joined in blocks of at most BLOCK_ITEMS items, each
 read by the tasks that read the texts; texts are never shuffled, and more items mean more blocks.
 
 Defined results: a null or empty text has no items, a null or empty item is in no text; rows with equal texts get equal
@@ -45,6 +46,14 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     return mix(out)
 
 
+def masks(size: int) -> list[str]:
+    """The masks that find every run of an item of this many words that agrees well enough."""
+    if size >= 8:
+        return MASKS
+    whole = "1" * size
+    return [whole] * (size > 0) + [whole[:j] + "0" + whole[j + 1 :] for j in range(size)] * (100 * (size - 1) >= PERCENT * size)
+
+
 def overlaps(doc: np.ndarray, item: np.ndarray, shift: int, window: int = WINDOW, percent: int = PERCENT) -> bool:
     """Whether item, laid over doc from word shift on, has a window that agrees well enough."""
     a, b = max(0, -shift), min(len(item), len(doc) - shift)
@@ -64,7 +73,7 @@ class Matcher:
         self.tables = []
         by_mask = defaultdict(list)
         for i, (_, words) in enumerate(self.items):
-            for mask in MASKS if len(words) >= 8 else ["1" * len(words)] if len(words) else []:
+            for mask in masks(len(words)):
                 by_mask[mask] += [(h, i, p) for p, h in enumerate(seeds(words, mask).tolist())]
         for mask, rows in by_mask.items():
             rows.sort()

@@ -66,3 +66,16 @@ def test_overlap_at_the_edges():
     assert decontam.overlaps(a, a[5:], 5)
     assert not decontam.overlaps(a[:5], a, 0)
     assert decontam.overlaps(a[7:], a, -7)
+
+
+def test_short_items_with_one_wrong_word():
+    for size in range(1, 8):
+        item = [f"w{size}x{j}" for j in range(size)]
+        matcher = decontam.Matcher([(size, " ".join(item))])
+        for at in range(size):
+            one = ["a", "b", *item[:at], "wrong", *item[at + 1 :], "c"]
+            assert list(matcher.find([" ".join(one).encode()])) == [[size] if size >= 5 else []]
+            if size > 1:
+                two = [x if x != item[at - 1] else "other" for x in one]
+                assert list(matcher.find([" ".join(two).encode()])) == [[]]
+        assert list(matcher.find([" ".join(["a", *item]).encode()])) == [[size]]
