@@ -16,6 +16,7 @@ gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import bisect
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -32,24 +33,54 @@ from ferrule.llm.common import written
 
 WINDOW = 2048
 END_ID = 1
-#: Words whose ids a Python worker remembers; it forgets all when there are more.
-KNOWN_WORDS = 1_000_000
+#: Words whose ids a Python worker remembers, the first that it meets.
+KNOWN_WORDS = 1_500_000
 #: Lengths that take part in triples; triples are about a sixth of the square of this.
 TRIPLE_LENGTHS = 96
 _encoders: dict[str, _Words] = {}
 
 
 class _Words(dict):
-    """Little-endian 32-bit ids by white-space-delimited word; the tokenizer never joins words, so ids can be joined."""
+    """Little-endian 32-bit ids by white-space-delimited word.
+
+    Ids can be joined because the tokenizer never joins words; others are refused. Words are told apart by letters, so that
+    capitals and a sentence's punctuation need no ids of their own: those of "Word," are those of "word" and of ",". A word
+    of Latin letters alone goes to the tokenizer's model at once, as its other steps leave it as it is.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        plain = "ab cd ef"
+        if any(self._encoded(x) != self._encoded(plain) for x in ("Ab\n CD\tef ", " ab  cd ef")) or self._encoded(plain) != b"".join(map(self._encoded, plain.split())):
+            raise ValueError(f"{path}: this tokenizer joins words or keeps case")
+        if self._encoded("ab,cd.") != b"".join(map(self._encoded, ("ab", ",", "cd", "."))):
+            raise ValueError(f"{path}: this tokenizer joins punctuation to words")
+        # ByteLevel shows printable bytes as they are and the others, in order, as characters from 256
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in shown]
+        self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.direct = all(self._latin(x) == self._encoded(x) for x in ("unhappinesses", "über", "façade", "señoría", "œuvre", "à", "łódź"))
+
+    def _encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _latin(self, text: str) -> bytes:
+        shown = text if text.isascii() else "".join(map(self.shown.__getitem__, text.encode()))
+        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        if len(word) <= 64:
+        text = word.decode("utf-8", "replace")
+        lower = text.lower()
+        latin = max(text + lower) < "\u0250" and "<|" not in text and unicodedata.is_normalized("NFC", text)
+        if latin and lower != text:
+            ids = self[lower.encode()]
+        elif latin and len(text) > 1 and text[-1] in ".,;:!?" and text[-2].isalpha():
+            ids = self[word[:-1]] + self[word[-1:]]
+        elif latin and self.direct and text.isalpha() and text.islower():
+            ids = self._latin(text)
+        else:
+            ids = self._encoded(text)
+        if len(self) < KNOWN_WORDS and len(word) <= 64:
             self[word] = ids
         return ids
 

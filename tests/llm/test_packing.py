@@ -80,3 +80,24 @@ def test_least_squares_never_goes_negative_and_fits():
         for a in c:
             fitted[a] += v
     assert all(abs(fitted[k] - n) < 10 for k, n in counts.items())
+
+
+def test_words_get_the_tokenizers_own_ids():
+    import random
+
+    tokenizer, words = tokenizers.Tokenizer.from_file(PATH), packing._Words(PATH)
+    rng = random.Random(4)
+    letters = "abcdefgzéüßñÉÜßĳŉſŁłŒœªºµ'.,;:!?-…İı0123ǅǆ\u0301ſtÅΩ<|>’“"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(20000)] + [chr(i) + x for i in range(0x21, 0x250) for x in ("", ".", "b,")]
+    for text in texts + ["<|endoftext|>", "<|ENDOFTEXT|>.", "it's", "IT'S,", "e\u0301."]:
+        if text.split() == [text]:
+            assert words[text.encode()] == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+def test_a_tokenizer_that_joins_words_is_refused(tmp_path):
+    import pytest
+
+    other = tokenizers.Tokenizer(tokenizers.models.WordLevel({"ab cd": 0, "?": 1}, unk_token="?"))
+    other.save(str(tmp_path / "other.json"))
+    with pytest.raises(ValueError):
+        packing._Words(str(tmp_path / "other.json"))
