@@ -43,17 +43,24 @@ LAYOUTS = [
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def field_paths(value: object, at: str = "") -> set[str]:
-    """Paths of all leaves; a list's elements share the path ``name[]``."""
-    if isinstance(value, dict) and value:
-        return set().union(*(field_paths(v, f"{at}.{k}" if at else k) for k, v in value.items()))
-    if isinstance(value, list) and value:
-        return set().union(*(field_paths(v, f"{at}[]") for v in value))
-    return {at}
+def field_paths(value: object) -> set[str]:
+    """Paths of all leaves; a list's elements share the path ``name[]``. Dots and brackets in names are escaped."""
+    paths, left = set(), [("", value)]
+    while left:
+        at, value = left.pop()
+        if isinstance(value, dict) and value:
+            for name, inner in value.items():
+                name = re.sub(r"([\\.\[])", r"\\\1", name)
+                left.append((f"{at}.{name}" if at else name, inner))
+        elif isinstance(value, list) and value:
+            left += [(f"{at}[]", inner) for inner in value]
+        else:
+            paths.add(at)
+    return paths
 
 
 def fingerprint(paths: set[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(paths)).encode("utf-8", "replace")).hexdigest()[:16]
 
 
 def _layout_paths(layout: dict) -> set[str]:
@@ -71,14 +78,16 @@ def _at(value: object, path: str) -> object:
 
 
 def _text(value: object) -> str:
-    return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+    """The text of a leaf; halves of surrogate pairs, which UTF-8 can't hold, become U+FFFD."""
+    text = value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+    return re.sub("[\ud800-\udfff]", "\ufffd", text)
 
 
 def turns_of(record: str | None) -> tuple[str | None, list[tuple[str, str]] | None]:
-    """(fingerprint, turns); no turns if the layout is unknown."""
+    """(fingerprint, turns); no turns if the layout is unknown, no fingerprint if it is not JSON or nested too deeply to be read."""
     try:
         value = json.loads(record)
-    except (TypeError, ValueError):
+    except (TypeError, ValueError, RecursionError):
         return None, None
     key = fingerprint(field_paths(value))
     if (layout := MAPPINGS.get(key)) is None:

@@ -59,3 +59,18 @@ def test_unknown_layouts_are_reported(spark):
     got = sorted((x.k, x.part, x.role, x.text) for x in chat.canonical_turns(df, "record", ["k"]).where("role is not null").collect())
     assert got == [(1, 0, "user", "q"), (1, 1, "assistant", "a")]
     assert chat.canonical_turns(df, "record", ["k"]).where("role is null").count() == 2
+
+
+def test_no_record_breaks_the_run(spark):
+    flat = json.dumps({"messages[].role": "u", "messages[].content": "c"})
+    deep = "[" * 200_000 + "]" * 200_000
+    nested = '{"a":' * 5000 + "1" + "}" * 5000
+    half = '{"prompt": "q\\ud800", "completion": "a"}'
+    assert chat.turns_of(flat)[1] is None
+    assert chat.turns_of(deep)[1] is None
+    assert chat.turns_of(nested)[1] is None
+    assert chat.turns_of(half)[1] == [("user", "q�"), ("assistant", "a")]
+    assert chat.turns_of('{"\\ud800": 1}')[1] is None
+    df = spark.createDataFrame([(i, x) for i, x in enumerate((flat, deep, half, None))], "id long, record string")
+    got = {tuple(x) for x in chat.canonical_turns(df, "record", ["id"]).select("id", "text").collect()}
+    assert got == {(0, None), (1, None), (2, "q\ufffd"), (2, "a"), (3, None)}
