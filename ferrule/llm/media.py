@@ -86,33 +86,46 @@ def write_ogg(payload: bytes, n_bytes: int) -> bytes:
     return b"".join([a[0], b[0], b[1], *a[1:]])
 
 
-def pages_of(media: bytes) -> Iterator[tuple[bool, int, int, int, bytes, int]]:
-    """(checksum holds, kind, granule, serial, lacing values, start of the body); bytes between pages are skipped."""
+def pages_of(media: bytes) -> Iterator[tuple[bool, int, int, int, int, bytes, int]]:
+    """(checksum holds, kind, granule, serial, number, lacing values, start of the body); bytes between pages are skipped."""
     at = media.find(b"OggS")
     while 0 <= at <= len(media) - 27:
-        _, _, kind, granule, serial, _, stored, n = _HEAD.unpack_from(media, at)
+        _, _, kind, granule, serial, number, stored, n = _HEAD.unpack_from(media, at)
         lacing = media[at + 27 : at + 27 + n]
         end = at + 27 + n + sum(lacing)
         if len(lacing) < n or end > len(media):
-            yield False, kind, granule, serial, b"", at
+            yield False, kind, granule, serial, number, b"", at
             return
         whole = media[at:end] if at or end < len(media) else media
         good = page_checksum(whole[:22] + b"\0\0\0\0" + whole[26:]) == stored
-        yield good, kind, granule, serial, lacing, at + 27 + n
+        yield good, kind, granule, serial, number, lacing, at + 27 + n
         at = media.find(b"OggS", end if good else at + 4)
 
 
 def packets_of(media: bytes) -> tuple[list[Packet], int]:
-    """All whole packets by stream, and the number of bad pages. A packet that lost a page is dropped."""
+    """All whole packets by stream, and the number of bad pages and of gaps in page numbers. A packet that lost a page is dropped.
+
+    A page dates the last packet that ends on it. Earlier ones are dated, by their length, in streams of 8-bit samples
+    alone; in others they have no time (-1).
+    """
     parts: dict[int, list[bytes] | None] = {}
     counts: dict[int, int] = {}
     out: list[Packet] = []
     bad = 0
-    for good, kind, granule, serial, lacing, at in pages_of(media):
+    awaited: dict[int, int] = {}
+    samples: set[int] = set()
+    for good, kind, granule, serial, number, lacing, at in pages_of(media):
         if not good:
             bad += 1
             parts[serial] = None
+            awaited.pop(serial, None)
             continue
+        if awaited.get(serial, number) != number and not kind & 2:
+            bad += 1
+            parts[serial] = None
+        awaited[serial] = (number + 1) % 2**32
+        if kind & 2 and media[at : at + 4] == b"PCM8":
+            samples.add(serial)
         if not kind & 1:
             parts[serial] = []
         part, ended = parts.get(serial), []
@@ -128,8 +141,8 @@ def packets_of(media: bytes) -> tuple[list[Packet], int]:
         later = 0  # samples of the packets after, on this page
         dated = []
         for data in reversed(ended):
-            dated.append((data, granule - later if granule >= 0 else -1))
-            later += len(data)
+            dated.append((data, granule - later if granule >= 0 and (serial in samples or not later) else -1))
+            later += len(data) if serial in samples else 1
         for data, when in reversed(dated):
             index = counts.get(serial, 0)
             counts[serial] = index + 1

@@ -56,6 +56,22 @@ def test_damage_is_found():
     assert media.packets_of(b"") == ([], 0)
 
 
+def test_a_page_that_is_missing_is_found():
+    data = [bytes([i]) * n for i, n in enumerate((300, 75_000, 40_000, 70_000, 500))]
+    pages = media.stream_pages(7, [(d, i) for i, d in enumerate(data)])
+    assert len(pages) >= 3
+    for lost in range(1, len(pages)):
+        packets, bad = media.packets_of(b"".join(pages[:lost] + pages[lost + 1 :]))
+        assert all(p.data in data for p in packets), lost  # none is glued from two
+        assert bad == (lost < len(pages) - 1)
+
+
+def test_only_samples_are_dated_by_length():
+    pages = media.stream_pages(7, [(b"x" * 10, 100), (b"y" * 20, 300)])
+    packets, _ = media.packets_of(b"".join(pages))
+    assert [p.granule for p in packets] in ([-1, 300], [100, 300])
+
+
 def test_texts(docs, rows, no_docs):
     got = media.text_media(docs).collect()
     texts = {}
