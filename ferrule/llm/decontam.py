@@ -135,7 +135,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS)
     at = docs.columns.index("text")
 
     def step(batch: pa.RecordBatch, matcher: Matcher) -> pa.RecordBatch:
-        raw = [(t or "").lower().encode() for t in batch.column(at).to_pylist()]
+        raw = [(t or b"").decode("utf-8", "replace").lower().encode() for t in batch.column(at).cast(pa.binary()).to_pylist()]
         return batch.filter(pa.array([not x for x in matcher.find(raw)], pa.bool_()))
 
     return _passes(docs, benchmark, block_items, step, docs.schema)

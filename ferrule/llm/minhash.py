@@ -282,5 +282,5 @@ def kept(docs: DataFrame, k: int = 5, percent: int = 80, symbols: int = 96) -> D
     """One row of docs, with all its columns, for each group of near-duplicates."""
     stay = near_duplicates(docs, k, percent, symbols).where("kept").select(F.col("id0").alias("_id0"), F.col("th").alias("_th")).distinct()
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    marked = docs.withColumns({"_id0": doc_id, "_th": F.xxhash64("text")}).join(stay, ["_id0", "_th"], "left_semi")
-    return marked.dropDuplicates(["_id0", "_th"]).select(*docs.columns)
+    marked = docs.select(doc_id.alias("_id0"), F.xxhash64("text").alias("_th"), F.struct(*docs.columns).alias("_row")).join(stay, ["_id0", "_th"], "left_semi")
+    return marked.dropDuplicates(["_id0", "_th"]).select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))

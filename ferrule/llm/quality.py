@@ -185,7 +185,7 @@ def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Da
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [(x or "").encode() for x in batch.column(at).to_pylist()]
+            raw = [x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()]  # as texts may be invalid UTF-8
             yield batch.filter(pa.array([shared.value.score(x) >= threshold for x in indicators(raw)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
