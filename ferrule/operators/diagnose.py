@@ -48,8 +48,9 @@ def diagnose(spark: SparkSession, options: Options) -> dict[str, DataFrame]:
     found = issues.from_rules(files, rules(), "path").withColumn("level", issues.effective_level(F.col("base_level"), F.col("tags"), int(options.warn), int(options.err)))
     worst = issues.per_path(found, "path")
     each = files.select("path", "format", "is_misnamed").join(worst, "path", "left").na.fill(0, ["max_level"])
+    sound = files.join(worst.where(F.col("max_level") >= int(Severity.ERROR)).select("path"), "path", "left_anti")  # no repair while there are errors
     rollup = each.groupBy("format").agg(
         F.count("*").alias("total"), F.count_if(F.col("max_level") >= int(Severity.FATAL)).alias("header_errors"),
         F.count_if(F.col("max_level") == int(Severity.ERROR)).alias("data_errors"), F.count_if("is_misnamed").alias("misnamed"),
     )
-    return {"files": files, "issues": found, "rollup": rollup, "plans": repair.plans(files)}
+    return {"files": files, "issues": found, "rollup": rollup, "plans": repair.plans(sound)}

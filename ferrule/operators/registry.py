@@ -2,12 +2,12 @@
 
 Pass 1 takes the first format, in registry order, that has the file's extension and accepts its head. Where the extension
 is known and no such format accepts, pass 2 takes the first of the others that does: the file is misnamed. The registry is
-a dimension of fixed size, so both passes are broadcast joins.
+of fixed size, so both passes are one expression over the head, and no content is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -52,15 +52,6 @@ def long_name(names: list[str], sub: str) -> str:
     return "/".join(names) + (f" ({sub})" if sub else "")
 
 
-def formats(spark: SparkSession) -> DataFrame:
-    """rank (ordinal order of long names), name, names, and one row per rule: rule, place, mark."""
-    rows = []
-    for rank, (names, sub, rules) in enumerate(sorted(FORMATS, key=lambda f: long_name(f[0], f[1]))):
-        for n, rule in enumerate(rules or [[(0, "")]]):
-            rows.append((rank, long_name(names, sub), names, bool(rules), n, [p for p, _ in rule], [bytearray.fromhex(h) for _, h in rule]))
-    return spark.createDataFrame(rows, "rank int, format string, names array<string>, has_rule boolean, rule int, places array<int>, marks array<binary>")
-
-
 def accepts(head: Column, places: Column, marks: Column) -> Column:
     """Whether all marks stand at their places; the MPEG audio sync is a mask of bits instead of bytes."""
     sync = (F.size(marks) == 1) & (F.hex(F.get(marks, F.lit(0))) == "FFE2")
@@ -72,14 +63,15 @@ def accepts(head: Column, places: Column, marks: Column) -> Column:
 
 def identify(files: DataFrame) -> DataFrame:
     """Adds format and is_misnamed to files (path, ext, content); format is null where nothing fits."""
-    table = F.broadcast(formats(files.sparkSession))
-    heads = files.select("path", "ext", F.substring("content", 1, HEADER).alias("head"))
-    named = F.coalesce(F.array_contains("names", F.col("ext")), F.lit(False))
-    fits = accepts(F.col("head"), F.col("places"), F.col("marks"))
-    hits = heads.join(table, (named & ~F.col("has_rule")) | (F.col("has_rule") & fits))
-    best = hits.groupBy("path").agg(F.min(F.struct((~named).cast("int").alias("late"), "rank", "format")).alias("best"))
+    head, hits = F.substring("content", 1, HEADER), []
+    for rank, (names, sub, rules) in enumerate(sorted(FORMATS, key=lambda f: long_name(f[0], f[1]))):
+        named = F.coalesce(F.col("ext").isin(*names), F.lit(False))
+        fits = F.lit(False) if rules else named
+        for rule in rules:
+            fits = fits | accepts(head, F.array(*(F.lit(p) for p, _ in rule)), F.array(*(F.lit(bytearray.fromhex(h)) for _, h in rule)))
+        hits.append(F.when(fits, F.struct((~named).cast("int").alias("late"), F.lit(rank).alias("rank"), F.lit(long_name(names, sub)).alias("format"))))
+    out = files.withColumn("best", F.least(*hits))
     known = F.array_contains(F.lit(sorted({n for f in FORMATS for n in f[0]})), F.col("ext"))
-    out = files.join(best, "path", "left")
     usable = (F.col("best.late") == 0) | F.coalesce(known, F.lit(False))
     return out.withColumn("format", F.when(usable, F.col("best.format"))).withColumn("is_misnamed", F.coalesce(usable & (F.col("best.late") == 1), F.lit(False))).drop("best")
 

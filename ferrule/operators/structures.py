@@ -326,7 +326,22 @@ def _lame(data: bytes, sync: int, end: int) -> Iterator[Piece]:
 
 @walker("gif")
 def gif(data: bytes) -> Iterator[Piece]:
-    yield piece("header", 0, min(13, len(data)), note=CUT if len(data) < 13 else f"{int.from_bytes(data[6:8], 'little')}x{int.from_bytes(data[8:10], 'little')}")
+    """The header, then extensions and images up to the trailer; a file whose blocks break off is taken as it is."""
+    if len(data) < 13:
+        yield piece("header", 0, len(data), note=CUT)
+        return
+    colours = lambda flags: 3 << ((flags & 7) + 1) if flags & 0x80 else 0
+    at = 13 + colours(data[10])
+    yield piece("header", 0, min(at, len(data)), note=f"{int.from_bytes(data[6:8], 'little')}x{int.from_bytes(data[8:10], 'little')}")
+    while at < len(data) and data[at] in (0x21, 0x2C):
+        start, image = at, data[at] == 0x2C
+        at += 11 + colours(data[at + 9]) if image and at + 9 < len(data) else 2
+        while at < len(data) and data[at]:
+            at += 1 + data[at]
+        at += 1
+        yield piece("image" if image else "extension", start, min(at, len(data)) - start)
+    if at < len(data):
+        yield piece("trailer", at, 1) if data[at] == 0x3B else piece("unknown", at, len(data) - at)
 
 
 @walker("mpg")

@@ -8,9 +8,9 @@ from ferrule.functions import bytesfn as b
 from ferrule.plans.catalog import big, query
 
 
-@query("SELECT doc_id, hex(substr(text, 1, 8)) AS h FROM documents")
+@query("SELECT doc_id, hex(text) AS h FROM documents")
 def q_hex(t):
-    return t.documents.select("doc_id", F.hex(F.substring("text", 1, 8)).alias("h"))
+    return t.documents.select("doc_id", F.hex("text").alias("h"))
 
 
 @query("""SELECT doc_id, regexp_extract(text, '[0-9a-f]{40}') AS token, CASE WHEN doc_id % 2 = 0 THEN 20 END::BIGINT AS n FROM documents WHERE regexp_matches(text, '[0-9a-f]{40}')""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ferrule.operators import lists, registry
-from ferrule.plans.catalog import big, query
+from ferrule.plans.catalog import query
 from ferrule.sources import files
 
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
@@ -274,6 +274,3 @@ def q_first_value(t):
 def q_duplicates(t):
     n = F.row_number().over(Window.partitionBy("digest").orderBy("doc_id")).cast("long")
     return t.documents.select("doc_id", F.md5("text").alias("digest")).select("doc_id", n.alias("copy_no")).where("copy_no > 1")
-
-
-__all__ = ["big"]
