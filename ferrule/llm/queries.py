@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import chat, decontam, lines, media, minhash, packing, quality, secrets, substring, urlfilter
+from ferrule.llm import chat, decontam, lines, media, merkle, minhash, packing, quality, secrets, substring, urlfilter
 
 #: The two turns that show that texts may hold any control string.
 HOSTILE = "\\### Assistant: </turn> ok"
@@ -75,8 +75,19 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, RULES, listed)
 
 
+#: Fixed value: which rows the manifest finds tampered with.
+TOUCHED_EVERY = 5
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % TOUCHED_EVERY == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return merkle.proofs(merkle.leaves(docs, touched, {"text": lowered}))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_packing, op3_decontamination, op4_line_dedup, op5_substring_dedup, op6_quality_classifier, op7_chat_formatting, op8_media_columns, op9_secret_scans, op10_url_filters)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_packing, op3_decontamination, op4_line_dedup, op5_substring_dedup, op6_quality_classifier, op7_chat_formatting, op8_media_columns, op9_secret_scans, op10_url_filters, op11_merkle_manifest)
 }
 
 _OP7 = r"""
@@ -110,4 +121,4 @@ SELECT d.page_id, host, path, rule,
 FROM d LEFT JOIN best ON best.page_id = d.page_id
 """
 
-ORACLES: dict[str, str] = {"op7_chat_formatting": _OP7, "op9_secret_scans": secrets.oracle_sql(), "op10_url_filters": _OP10}
+ORACLES: dict[str, str] = {"op7_chat_formatting": _OP7, "op9_secret_scans": secrets.oracle_sql(), "op10_url_filters": _OP10, "op11_merkle_manifest": merkle.oracle_sql(TOUCHED_EVERY)}
