@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import chat, decontam, lines, media, merkle, minhash, packing, quality, secrets, substring, urlfilter
+from ferrule.llm import chat, decontam, lines, media, merkle, minhash, negatives, packing, pitman, quality, secrets, substring, urlfilter
 
 #: The two turns that show that texts may hold any control string.
 HOSTILE = "\\### Assistant: </turn> ok"
@@ -86,8 +86,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(merkle.leaves(docs, touched, {"text": lowered}))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman.score(_table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_packing, op3_decontamination, op4_line_dedup, op5_substring_dedup, op6_quality_classifier, op7_chat_formatting, op8_media_columns, op9_secret_scans, op10_url_filters, op11_merkle_manifest)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_packing, op3_decontamination, op4_line_dedup, op5_substring_dedup, op6_quality_classifier, op7_chat_formatting, op8_media_columns, op9_secret_scans, op10_url_filters, op11_merkle_manifest, op12_lm_scoring, op13_hard_negatives)
 }
 
 _OP7 = r"""
@@ -121,4 +130,24 @@ SELECT d.page_id, host, path, rule,
 FROM d LEFT JOIN best ON best.page_id = d.page_id
 """
 
-ORACLES: dict[str, str] = {"op7_chat_formatting": _OP7, "op9_secret_scans": secrets.oracle_sql(), "op10_url_filters": _OP10, "op11_merkle_manifest": merkle.oracle_sql(TOUCHED_EVERY)}
+_OP13 = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS units
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS alike,
+    CAST(list_sum(list_transform(range(len(a.units)), lambda i: a.units[i + 1] * b.units[i + 1])) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.units) = len(b.units) WHERE a.vec_id % 100 = 0
+), positive AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scored USING (anchor_id) WHERE NOT alike AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op7_chat_formatting": _OP7, "op9_secret_scans": secrets.oracle_sql(), "op10_url_filters": _OP10, "op11_merkle_manifest": merkle.oracle_sql(TOUCHED_EVERY), "op13_hard_negatives": _OP13}
