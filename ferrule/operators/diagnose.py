@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.operators import issues, registry, repair, structures
+from ferrule.operators import issues, ranges, registry, repair, structures
 from ferrule.operators.rules import Rule
 from ferrule.options import Hashes, Options, Severity, Tag
 from ferrule.sources import files as source
@@ -18,12 +18,18 @@ def checked(files: DataFrame, hashes: Hashes = Hashes.NONE) -> DataFrame:
     """files with format, is_misnamed, what their structure says, the watermark verdict, and the digests asked for."""
     known = registry.identify(source.capped(files, LIMITS))
     first = known.withColumn("format", F.split_part(F.split_part("format", F.lit(" "), F.lit(1)), F.lit("/"), F.lit(1)))
-    walked = structures.summary(structures.structures(first, "path"), "path")
-    out = known.join(walked, "path", "left")
+    out = structures.walked(first)
+    out = out.withColumns(structures.checks(F.col("pieces"))).withColumn("media", ranges.media(F.col("format"), F.col("pieces"), F.col("content"), F.col("size")))
     out = out.withColumn("watermark", F.when(F.col("valid_size").isNotNull(), repair.watermark(F.col("content"), F.col("valid_size"), F.col("size"))))
     fatal = F.coalesce(F.size("faults") > 0, F.lit(False)) | F.col("oversized")
-    digests = {Hashes.FILE_MD5: ("file_md5", F.md5("content")), Hashes.FILE_SHA1: ("file_sha1", F.sha1("content")), Hashes.FILE_SHA256: ("file_sha256", F.sha2("content", 256))}
-    return out.withColumns({name: F.when(~fatal, column) for flag, (name, column) in digests.items() if hashes & flag})
+    parts = ranges.digests(F.col("content"), F.col("media"), F.col("size"))
+    sound = F.when(F.col("format") == "wav", ranges.gathered(F.col("content"), F.col("media")))
+    digests = [
+        (Hashes.FILE_MD5, "file_md5", F.md5("content")), (Hashes.FILE_SHA1, "file_sha1", F.sha1("content")), (Hashes.FILE_SHA256, "file_sha256", F.sha2("content", 256)),
+        (Hashes.MEDIA_SHA1, "media_sha1", parts["media_sha1"]), (Hashes.META_SHA1, "meta_sha1", parts["meta_sha1"]),
+        (Hashes.PCM_MD5, "pcm_md5", F.md5(sound)), (Hashes.PCM_CRC32, "pcm_crc32", F.crc32(sound)),
+    ]
+    return out.withColumns({name: F.when(~fatal, column) for flag, name, column in digests if hashes & flag})
 
 
 def rules() -> list[Rule]:

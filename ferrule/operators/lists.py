@@ -42,6 +42,22 @@ def validate_digests(items: DataFrame, files: DataFrame, on: list[str]) -> DataF
     return found.withColumn("is_found", F.col("_there").isNotNull()).withColumn("is_match", F.when(F.col("is_found"), F.col("stored") == F.col("actual"))).drop("_there")
 
 
+def validate_modes(items: DataFrame, files: DataFrame, on: list[str], whole: str = "file_sha1") -> DataFrame:
+    """items (stored, mode) against files (whole, media_sha1, meta_sha1), all modes in one join.
+
+    Text and Binary entries tell of the whole file, Media and Meta entries of a part of it. Only lists of SHA-1 may have the
+    latter; elsewhere (whole is another digest) is_match stays null and is_supported is false.
+    """
+    partial = F.col("mode").isin("Media", "Meta")
+    supported = ~partial if whole != "file_sha1" else F.lit(True)
+    actual = F.when(~partial, F.col(whole))
+    if whole == "file_sha1":
+        actual = F.when(F.col("mode") == "Media", F.col("media_sha1")).when(F.col("mode") == "Meta", F.col("meta_sha1")).otherwise(actual)
+    found = items.join(files.withColumn("_there", F.lit(True)), on, "left").withColumn("actual", actual)
+    made = {"is_found": F.col("_there").isNotNull(), "is_supported": supported, "is_match": F.when(F.col("_there") & supported, F.col("stored") == F.col("actual"))}
+    return found.withColumns(made).drop("_there")
+
+
 def validation_summary(checked: DataFrame, *keys: str) -> DataFrame:
     """n_items, n_found, n_matched and the verdict."""
     out = checked.groupBy(*keys).agg(F.count("*").alias("n_items"), F.count_if("is_found").alias("n_found"), F.count_if(F.coalesce("is_match", F.lit(False))).alias("n_matched"))

@@ -13,7 +13,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.functions.bytesfn import CRCS, crc, read_varint, read_vint
@@ -351,27 +351,47 @@ def mpeg(data: bytes) -> Iterator[Piece]:
     yield piece("stream", 0, len(data) if end < 0 else end + 4, note="!missing trailer" if end < 0 else None)
 
 
-def structures(files: DataFrame, *keys: str) -> DataFrame:
-    """Rows of the pieces of files (keys, format, content); files without a walker or content have none."""
-    names = list(keys)
+def walked(files: DataFrame) -> DataFrame:
+    """files (format, content ...) with pieces: an array of what the walker of their format finds, null without walker or content.
+
+    One row stays one row, so what follows from the pieces and the content of a file needs no join.
+    """
+    fields = [f.split(" ") for f in SCHEMA.split(", ")]
+    arrow = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+    kind = pa.list_(pa.struct([(n, arrow[t]) for n, t in fields]))
+    names = [n for n, _ in fields]
+    columns = list(files.columns)
+    where = [columns.index(c) for c in ("format", "content")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take, rows = [], []
-            for i, (form, data) in enumerate(zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)):
-                if data is None or form not in WALKERS:
-                    continue
-                for n, p in enumerate(WALKERS[form](data)):
-                    take.append(i)
-                    rows.append((n, *p))
-            kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            left = batch.select(range(len(names))).take(pa.array(take, pa.int64()))
-            made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*left.columns, *made], [*(f"k{i}" for i in range(len(names))), *(c.split(" ")[0] for c in SCHEMA.split(", "))])
-
-    fields = ", ".join(f"k{i} {files.schema[k].dataType.simpleString()}" for i, k in enumerate(names))
-    out = files.select(*names, "format", "content").mapInArrow(run, f"{fields}, {SCHEMA}")
-    return out.toDF(*names, *(c.split(" ")[0] for c in SCHEMA.split(", ")))
+            made = []
+            for form, data in zip(*(batch.column(i).to_pylist() for i in where), strict=True):
+                known = data is not None and form in WALKERS
+                made.append([dict(zip(names, (n, *p), strict=True)) for n, p in enumerate(WALKERS[form](data))] if known else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, kind)], [*columns, "pieces"])
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
+    return files.mapInArrow(run, f"{own}, pieces array<struct<{', '.join(f'{n}: {t}' for n, t in fields)}>>".replace(": long", ": bigint"))
+
+
+def structures(files: DataFrame, *keys: str) -> DataFrame:
+    """Rows of the pieces of files (keys, format, content); files without a walker or content have none."""
+    return walked(files.select(*keys, "format", "content")).select(*keys, F.inline("pieces"))
+
+
+def checks(pieces: Column) -> dict[str, Column]:
+    """n_pieces, n_checked and n_bad (checksums), valid_size (end of the last piece) and faults of an array of pieces, as summary()."""
+    both = lambda p: p["stored"].isNotNull() & p["actual"].isNotNull()
+    faulty = F.filter(pieces, lambda p: F.startswith(p["note"], F.lit("!")))
+    told = F.transform(faulty, lambda p: F.concat(p["note"].substr(F.lit(2), F.length(p["note"])), F.lit(" "), p["kind"]))
+    return {
+        "n_pieces": F.when(pieces.isNotNull(), F.size(pieces)).cast("long"),
+        "n_checked": F.when(pieces.isNotNull(), F.size(F.filter(pieces, both))).cast("long"),
+        "n_bad": F.when(pieces.isNotNull(), F.size(F.filter(pieces, lambda p: both(p) & (p["stored"] != p["actual"])))).cast("long"),
+        "valid_size": F.array_max(F.transform(pieces, lambda p: p["pos"] + p["size"])),
+        "faults": F.sort_array(F.array_distinct(told)),
+    }
 
 
 def summary(pieces: DataFrame, *keys: str) -> DataFrame:

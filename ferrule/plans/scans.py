@@ -129,15 +129,6 @@ def q_manifest_summary(t):
     return lists.validation_summary(_checked(t), "source")
 
 
-@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN ':' WHEN 1 THEN '?' ELSE '*' END AS mode,
-  CASE doc_id % 5 WHEN 0 THEN md5(substr(text, 1, length(text) // 2)) WHEN 1 THEN md5(substr(text, length(text) // 2 + 1)) ELSE md5(text) END AS digest FROM documents""")
-def q_manifest_modes(t):
-    half = F.floor(F.length("text") / 2).cast("int")
-    rest = F.col("doc_id") % 5
-    digest = F.when(rest == 0, F.md5(F.substring("text", F.lit(1), half))).when(rest == 1, F.md5(F.substring("text", half + 1, F.length("text")))).otherwise(F.md5("text"))
-    return t.documents.select("doc_id", F.when(rest == 0, ":").when(rest == 1, "?").otherwise("*").alias("mode"), digest.alias("digest"))
-
-
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def q_exists_semi(t):
     return lists.existing(t.documents, t.labels, ["doc_id"])[0].select("doc_id", "lang")
@@ -218,17 +209,6 @@ _digest("q_sha1", F.sha1, "sha1")
 _digest("q_sha256", lambda c: F.sha2(c, 256), "sha256")
 
 
-@query("SELECT doc_id, sha1(substr(text, 11, length(text) - 20)) AS digest FROM documents WHERE length(text) > 20")
-def q_media_sha1(t):
-    return t.documents.where(F.length("text") > 20).select("doc_id", F.sha1(F.substring("text", F.lit(11), F.length("text") - 20)).alias("digest"))
-
-
-@query("SELECT doc_id, sha1(substr(text, 1, 10) || substr(text, length(text) - 9)) AS digest FROM documents WHERE length(text) > 20")
-def q_meta_sha1(t):
-    text = t.documents.where(F.length("text") > 20)
-    return text.select("doc_id", F.sha1(F.concat(F.substring("text", 1, 10), F.substring("text", F.length("text") - 9, F.lit(10)))).alias("digest"))
-
-
 @query()
 def q_crc32(t):
     return t.documents.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"))
