@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ferrule.operators import lists, ranges, structures, trees
+from ferrule.operators.grammar import Grammar, Rule, parsed
 from ferrule.plans.binaries import _files, _wav
 from ferrule.plans.catalog import query
+from ferrule.sources import files
 
 _HALVES = """(SELECT doc_id, text, array_to_string([x || CASE WHEN i < n THEN chr(10) ELSE '' END FOR x, i IN lines IF i % 2 = 1], '') AS odd,
   array_to_string([x || CASE WHEN i < n THEN chr(10) ELSE '' END FOR x, i IN lines IF i % 2 = 0], '') AS even
@@ -102,3 +104,25 @@ def q_tree_first(t):
         one = trees.first_of(nodes, "j", j, "file").select("file", F.lit(j).alias("j"), F.col("node.idx").alias("idx"), F.col("node.pos").alias("pos"))
         out = one if out is None else out.union(one)
     return out
+
+
+#: A grammar over lines of prose: paragraphs of short and long lines, and lists between them.
+PROSE = Grammar("start", (
+    Rule("start", r"^\s*$", "start"), Rule("start", "[:;]$", "list", "heading"), Rule("start", r"^.{80,}$", "long", "opening"), Rule("start", ".", "short", "line"),
+    Rule("short", r"^\s*$", "start"), Rule("short", r"^.{80,}$", "long", "grown"), Rule("long", r"^\s*$", "start", "end"), Rule("long", r"^(\S{1,9}) ", "long", "word"), Rule("long", "[.!?]$", "short", "close"),
+    Rule("list", r"^\s*$", "list"), Rule("list", r"^(.{1,40})$", "list", "item"), Rule("list", ".", "start", "over"),
+))
+
+
+def _cases(value: str) -> str:
+    """The rules as branches of a CASE over state and line."""
+    quoted = lambda x: f"'{x}'" if x else "NULL"
+    return " ".join(f"WHEN state = '{r.state}' AND regexp_matches(line, '{r.pattern}') THEN {quoted(getattr(r, value))}" for r in PROSE.rules)
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents),
+s AS (SELECT doc_id, line_no, line, 'start' AS state FROM l WHERE line_no = 1
+  UNION ALL SELECT l.doc_id, l.line_no, l.line, s.next FROM (SELECT *, CASE {_cases("to")} ELSE state END AS next FROM s) s JOIN l ON l.doc_id = s.doc_id AND l.line_no = s.line_no + 1)
+SELECT * FROM (SELECT doc_id, line_no, state, CASE {_cases("kind")} END AS kind FROM s) WHERE kind IS NOT NULL""")
+def q_line_grammar(t):
+    return parsed(files.text_lines(t.documents, "text", "doc_id"), PROSE, "doc_id").select("doc_id", "line_no", "state", "kind")
