@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.operators import issues, ranges, registry, repair, structures
+from ferrule.operators import companions, issues, logs, ranges, registry, repair, structures
 from ferrule.operators.rules import Rule
 from ferrule.options import Hashes, Options, Severity, Tag
 from ferrule.sources import files as source
+from ferrule.storage import written
+
+#: Bytes of a side that may be broadcast to the scan of contents.
+BROADCAST_BYTES = 16 << 20
 
 # The largest files of these kinds that are read, in bytes.
 LIMITS = {"log": 250_000, "m3u": 524_288, "m3u8": 524_288, "cue": 524_288, "gif": 50_000_000, "ico": 50_000_000, "jpg": 50_000_000, "jpeg": 50_000_000, "png": 100_000_000, "mp3": 2_147_483_647}
 
 
 def checked(files: DataFrame, hashes: Hashes = Hashes.NONE) -> DataFrame:
-    """files with format, is_misnamed, what their structure says, the watermark verdict, and the digests asked for."""
+    """files with format, is_misnamed, what their structure says, the watermark verdict, and the digests asked for.
+
+    Digests are made for all files if hashes says so, else where a file's column wanted (an array of names, if there is one)
+    has them; a digest that nobody asked for is null.
+    """
+    if "wanted" not in files.columns:
+        files = files.withColumn("wanted", F.lit(None).cast("array<string>"))
     known = registry.identify(source.capped(files, LIMITS))
     first = known.withColumn("format", F.split_part(F.split_part("format", F.lit(" "), F.lit(1)), F.lit("/"), F.lit(1)))
     out = structures.walked(first)
@@ -29,7 +41,8 @@ def checked(files: DataFrame, hashes: Hashes = Hashes.NONE) -> DataFrame:
         (Hashes.MEDIA_SHA1, "media_sha1", parts["media_sha1"]), (Hashes.META_SHA1, "meta_sha1", parts["meta_sha1"]),
         (Hashes.PCM_MD5, "pcm_md5", F.md5(sound)), (Hashes.PCM_CRC32, "pcm_crc32", F.crc32(sound)),
     ]
-    return out.withColumns({name: F.when(~fatal, column) for flag, name, column in digests if hashes & flag})
+    asked = lambda flag, name: F.lit(bool(hashes & flag)) | F.coalesce(F.array_contains("wanted", name), F.lit(False))
+    return out.withColumns({name: F.when(~fatal & asked(flag, name), column) for flag, name, column in digests})
 
 
 def rules() -> list[Rule]:
@@ -48,15 +61,54 @@ def rules() -> list[Rule]:
     ]
 
 
+def _noted(files: DataFrame, found: DataFrame) -> DataFrame:
+    """files with wanted: the digests that lists ask for. Few entries are broadcast, by their bytes; with many, the files are shuffled."""
+    asked = companions.wanted(found)
+    size = asked.agg(F.sum(F.octet_length("path") + 64)).first()[0] or 0
+    return files.join(F.broadcast(asked) if size <= BROADCAST_BYTES else asked, "path", "left")
+
+
+def _audit(files: DataFrame, lines: DataFrame, found: DataFrame, level: Callable[[DataFrame], DataFrame], options: Options) -> DataFrame:
+    """Issues of lists, playlists, cue sheets and logs, and of what a folder holds beside them; path and what from_rules() gives."""
+    own = issues.per_path(level(issues.from_rules(files, rules(), "path")), "path").select("path", F.col("max_level").alias("level"))
+    graded = written(files.select("path", "dir", "name", "format", "n_checked", "oversized").join(own, "path", "left").na.fill(0, ["level"]), "graded")
+    per_folder = companions.folders(graded)
+    entries = written(companions.flagged(companions.met(found, files)), "entries")
+    sheets = companions.sheets(entries, lines, graded, per_folder)
+    facts = written(companions.log_facts(lines), "logs")
+    told = issues.from_rules(facts, logs.log_rules(), "path")
+    worst = issues.per_path(level(told), "path").select("path", F.col("max_level").alias("log_level"))
+    rips = facts.join(graded.select("path", "dir"), "path").join(per_folder, "dir").join(worst, "path", "left").na.fill(0, ["log_level"])
+    flacs = graded.where("format = 'flac'").join(per_folder.where("n_log = 0").select("dir"), "dir", "left_semi")
+    alone = [Rule(F.lit(True), F.lit("Found .flac file without .log file in same folder."), Severity.NOISE, Tag.STRICT_WARN)]
+    parts = [issues.from_rules(sheets, companions.list_rules(options.repair), "path"), told, issues.from_rules(flacs, alone, "path")]
+    parts.insert(0, issues.from_rules(entries.withColumnRenamed("idx", "entry"), companions.entry_rules(), "path", "line_no").drop("line_no"))
+    if options.rip:
+        parts.append(issues.from_rules(rips, companions.rip_rules(), "path"))
+    return issues.in_phases(*parts)
+
+
 def diagnose(spark: SparkSession, options: Options) -> dict[str, DataFrame]:
-    """files, issues (with level), rollup by format, and repair plans of a run."""
-    files = checked(source.scan(spark, options.root, options.glob, options.exclude), options.hashes)
-    found = issues.from_rules(files, rules(), "path").withColumn("level", issues.effective_level(F.col("base_level"), F.col("tags"), int(options.warn), int(options.err)))
-    worst = issues.per_path(found, "path")
+    """files (without their content), issues (with level), rollup by format, and repair plans of a run; stored where they are used again."""
+    scanned = source.scan(spark, options.root, options.glob, options.exclude)
+    small = source.capped(scanned.where(F.col("ext").isin(companions.KINDS)), LIMITS)
+    lines = written(companions.texts(registry.identify(small)), "lines")
+    found = written(companions.entries(lines), "found")
+    if not options.validations:
+        found = found.where("false")
+    files = checked(_noted(scanned, found), options.hashes)
+    files = written(files.drop("content", "pieces", "wanted", "media"), "files")  # the only pass over contents
+
+    def level(told: DataFrame) -> DataFrame:
+        return told.withColumn("level", issues.effective_level(F.col("base_level"), F.col("tags"), int(options.warn), int(options.err)))
+
+    told = issues.in_phases(issues.from_rules(files, rules(), "path"), _audit(files, lines, found, level, options).drop("phase"))
+    told = written(level(told), "issues")
+    worst = issues.per_path(told, "path")
     each = files.select("path", "format", "is_misnamed").join(worst, "path", "left").na.fill(0, ["max_level"])
     sound = files.join(worst.where(F.col("max_level") >= int(Severity.ERROR)).select("path"), "path", "left_anti")  # no repair while there are errors
     rollup = each.groupBy("format").agg(
         F.count("*").alias("total"), F.count_if(F.col("max_level") >= int(Severity.FATAL)).alias("header_errors"),
         F.count_if(F.col("max_level") == int(Severity.ERROR)).alias("data_errors"), F.count_if("is_misnamed").alias("misnamed"),
     )
-    return {"files": files, "issues": found, "rollup": rollup, "plans": repair.plans(sound)}
+    return {"files": files, "issues": told, "rollup": rollup, "plans": repair.plans(sound)}

@@ -51,12 +51,13 @@ def max_level_where(mask: int) -> Column:
 def from_rules(files: DataFrame, rules: list, *keys: str) -> DataFrame:
     """Issues of a list of rules over one row per file: keys, idx (from 1, in the order of rules), message, base_level, tags, repair_kind.
 
-    A rule has a guard and a message (columns), a level, tags and a repair kind. All rules are one projection.
+    A rule has a guard and a message (columns), a level (a number or a column), tags and a repair kind. All rules are one projection.
     """
+    level = lambda x: x.cast("int") if isinstance(x, Column) else F.lit(int(x))
     made = [
         F.when(
             r.guard,
-            F.struct(r.message.alias("message"), F.lit(int(r.level)).alias("base_level"), F.lit(int(r.tags)).alias("tags"), F.lit(r.repair).cast("string").alias("repair_kind")),
+            F.struct(r.message.alias("message"), level(r.level).alias("base_level"), F.lit(int(r.tags)).alias("tags"), F.lit(r.repair).cast("string").alias("repair_kind")),
         )
         for r in rules
     ]

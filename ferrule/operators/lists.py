@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 # What the character before a name says about the digest.
 MODES = {" ": "Text", "*": "Binary", ":": "Media", "?": "Meta", "!": "Undefined"}
@@ -24,8 +25,10 @@ def parse_digests(lines: DataFrame, digits: int, *keys: str) -> DataFrame:
     status = F.when(F.length(text) < digits + 3, "too short").when(left, "ok").when(right, "swapped").otherwise("malformed")
     hex_left, hex_right = F.substring(text, 1, digits), F.regexp_extract(text, rf" ([0-9A-Fa-f]{{{digits}}})$", 1)
     rows = lines.where(~skipped).withColumn("status", status)
-    first_short = F.min(F.when(F.col("status") == "too short", F.col("line_no"))).over(Window.partitionBy(*keys))
-    rows = rows.withColumn("last", first_short).where("last is null or line_no <= last")
+    first_short = rows.where("status = 'too short'").groupBy(*keys).agg(F.min("line_no").alias("last"))  # a row for each list at most
+    first_short = first_short.toDF(*(f"_{k}" for k in keys), "last")
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    rows = rows.join(first_short, same, "left").where("last is null or line_no <= last")
     is_left, is_right = F.col("status") == "ok", F.col("status") == "swapped"
     mode = F.when(is_left, F.substring(text, digits + 2, 1)).when(is_right, " ")
     return rows.select(

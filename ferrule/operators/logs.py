@@ -74,7 +74,7 @@ def sections(lines: DataFrame, *keys: str) -> DataFrame:
 
 
 def _crc(text: Column) -> Column:
-    return F.when(F.rlike(text, F.lit("^[0-9A-Fa-f]{1,8}$")), F.conv(text, 16, 10).cast("long"))
+    return F.when(F.rlike(text, F.lit("^[0-9A-Fa-f]{1,8}$")), F.conv(text, 16, 10).try_cast("long"))
 
 
 def tracks(rows: DataFrame, *keys: str) -> DataFrame:
@@ -94,16 +94,16 @@ def tracks(rows: DataFrame, *keys: str) -> DataFrame:
 
     named = [told(k).alias(k) for k in ("filename", "pregap", "peak", "speed", "quality", "trouble")]
     out = own.groupBy(*keys, "idx").agg(
-        told("track").cast("int").alias("number"), *named, told("test_crc").alias("_test"), told("copy_crc").alias("_copy"), has("copy_ok").alias("has_ok"), has("trouble").alias("has_trouble"),
-        told("ar").cast("int").alias("_ar"), F.coalesce(told("ar", "b"), told("ar_failed")).alias("_how"), has("ar_failed").alias("_failed"), has("ar_absent").alias("_absent"),
+        told("track").try_cast("int").alias("number"), *named, told("test_crc").alias("_test"), told("copy_crc").alias("_copy"), has("copy_ok").alias("has_ok"), has("trouble").alias("has_trouble"),
+        told("ar").try_cast("int").alias("_ar"), F.coalesce(told("ar", "b"), told("ar_failed")).alias("_how"), has("ar_failed").alias("_failed"), has("ar_absent").alias("_absent"),
     )
     confidence = F.when(F.col("_ar") > 0, F.col("_ar")).when(F.col("_ar").isNotNull() | F.col("_failed"), -1).when(F.col("_absent") & (F.coalesce("peak", F.lit("")) != "0.0 %"), 0)
     version = F.when(F.col("_how").isNotNull(), F.when(F.contains("_how", F.lit("AR v2")), 2).otherwise(1))
     bad = F.concat_ws(",", F.when(F.col("_test").isNotNull() & _crc(F.col("_test")).isNull(), "test"), F.when(F.col("_copy").isNotNull() & _crc(F.col("_copy")).isNull(), "copy"))
     out = out.withColumns({"test_crc": _crc(F.col("_test")), "copy_crc": _crc(F.col("_copy")), "ar_version": version, "ar_confidence": confidence, "bad_crc": F.when(bad != "", bad)})
     ct = rows.where("kind IN ('ct_track', 'ct_differs')").withColumn("idx", F.row_number().over(order).cast("long"))
-    ct = ct.select(*keys, "idx", F.when(F.col("kind") == "ct_track", F.col("b").cast("int")).otherwise(-1).alias("ct_confidence"))
-    xld = rows.where("kind IN ('ar_ok', 'ar_unknown', 'ar_bad')").select(*keys, F.col("a").cast("long").alias("idx"), F.when(F.col("kind") == "ar_ok", F.col("b").cast("int")).when(F.col("kind") == "ar_unknown", 0).otherwise(-1).alias("_own"))
+    ct = ct.select(*keys, "idx", F.when(F.col("kind") == "ct_track", F.col("b").try_cast("int")).otherwise(-1).alias("ct_confidence"))
+    xld = rows.where("kind IN ('ar_ok', 'ar_unknown', 'ar_bad')").select(*keys, F.col("a").try_cast("long").alias("idx"), F.when(F.col("kind") == "ar_ok", F.col("b").try_cast("int")).when(F.col("kind") == "ar_unknown", 0).otherwise(-1).alias("_own"))
     out = out.join(ct, [*keys, "idx"], "left").join(xld, [*keys, "idx"], "left").withColumn("ar_confidence", F.coalesce("ar_confidence", "_own"))
     return out.select(*keys, "idx", "number", "filename", "pregap", "peak", "speed", "quality", "test_crc", "copy_crc", "has_ok", "ar_version", "ar_confidence", "ct_confidence", "trouble", "has_trouble", "bad_crc")
 
@@ -127,7 +127,7 @@ def headers(rows: DataFrame, logs: DataFrame, *keys: str) -> DataFrame:
         of("version").alias("version"), of("date").alias("date"), of("artist").alias("artist"), of("artist", "b").alias("album"), *(c.alias(n) for n, c in named.items()),
         F.when(has("toc"), F.count_if(F.col("kind") == "toc_track")).alias("toc_tracks"), has("range").alias("is_range"), has("no_errors").alias("no_errors"), has("errors").alias("errors"),
         (has("checksum") | has("signature")).alias("is_signed"), has("trailing").alias("has_trailing"), F.count_if(F.col("kind") == "bad_track").alias("bad_tracks"),
-        F.when(has("ct_absent"), 0).when(has("ct_failed"), -1).otherwise(of("ct").cast("int")).alias("ct_disc"), F.when(has("disc_absent"), 0).otherwise(F.min(F.when(F.col("kind") == "range_ar", F.col("b").cast("int")))).alias("ar_disc"),
+        F.when(has("ct_absent"), 0).when(has("ct_failed"), -1).otherwise(of("ct").try_cast("int")).alias("ct_disc"), F.when(has("disc_absent"), 0).otherwise(F.min(F.when(F.col("kind") == "range_ar", F.col("b").try_cast("int")))).alias("ar_disc"),
         F.count_if(F.col("kind").isin("ar_ok", "ar_unknown", "ar_bad")).alias("ar_items"),
     )
     out = logs.select(*keys, "program").join(found, list(keys), "left")

@@ -22,9 +22,8 @@ def watermark(content: Column, valid_size: Column, size: Column) -> Column:
 
 
 def plans(files: DataFrame) -> DataFrame:
-    """(path, kind, offset, cut, new_name) of files (path, name, size, valid_size, content, format, extensions, is_misnamed)."""
-    mark = watermark(F.col("content"), F.col("valid_size"), F.col("size"))
-    trim = files.where(mark == "probable").select("path", F.lit("trim").alias("kind"), F.col("valid_size").alias("offset"), (F.col("size") - F.col("valid_size")).alias("cut"), F.lit(None).cast("string").alias("new_name"))
+    """(path, kind, offset, cut, new_name) of files (path, name, size, valid_size, watermark, format, is_misnamed)."""
+    trim = files.where("watermark = 'probable'").select("path", F.lit("trim").alias("kind"), F.col("valid_size").alias("offset"), (F.col("size") - F.col("valid_size")).alias("cut"), F.lit(None).cast("string").alias("new_name"))
     extension = F.split_part(F.split_part("format", F.lit(" "), F.lit(1)), F.lit("/"), F.lit(1))
     move = files.where("is_misnamed").select("path", F.lit("rename"), F.lit(None).cast("long"), F.lit(None).cast("long"), renamed(F.col("name"), extension))
     return trim.union(move)

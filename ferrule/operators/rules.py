@@ -16,7 +16,7 @@ class Rule:
 
     guard: Column
     message: Column
-    level: int = Severity.ERROR
+    level: int | Column = Severity.ERROR
     tags: int = Tag.NONE
     repair: str | None = None
 

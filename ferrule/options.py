@@ -83,6 +83,7 @@ class Options:
     warn: Tag = Tag.NONE
     err: Tag = Tag.NONE
     repair: bool = False
+    rip: bool = True
     glob: str | None = None
     exclude: list[str] = field(default_factory=list)
     out: str | None = None
@@ -114,6 +115,7 @@ def parse(arguments: list[str]) -> Options:
     p.add_argument("--err", type=lambda s: _member(Tag, s), default=Tag.NONE)
     p.add_argument("--strict", action="store_true")
     p.add_argument("--repair", action="store_true")
+    p.add_argument("--no-rip", dest="rip", action="store_false")
     p.add_argument("--glob")
     p.add_argument("--exclude", action="append", default=[])
     p.add_argument("--out")

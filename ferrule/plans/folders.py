@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ferrule.operators import folder, report
+from ferrule.operators.ordering import numbered
 from ferrule.plans.catalog import big, query
 
 _TIE = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate"
@@ -27,7 +28,7 @@ FROM (SELECT * FROM n WHERE half = 1) b LEFT JOIN (SELECT * FROM n WHERE half =
 def q_greedy_match(t):
     crc = F.when(F.col("doc_id") % 11 != 0, F.substring(F.md5("text"), 1, 1))
     rows = t.documents.select("source", "doc_id", crc.alias("crc"), (F.col("doc_id") % 2).alias("half"))
-    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("source", "half").orderBy("doc_id")).cast("long"))
+    rows = numbered(rows, ["source", "half"], ["doc_id"]).withColumn("pos", F.col("number") + 1)
     return folder.greedy_match(rows.where("half = 0"), rows.where("half = 1"), ["source"], "crc", "pos")
 
 
@@ -169,9 +170,8 @@ def q_run_length(t):
 
 @query("SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) * 100 // count(*) OVER (PARTITION BY user_id))::BIGINT AS percent FROM events")
 def q_progress(t):
-    mine = Window.partitionBy("user_id")
-    done = F.row_number().over(mine.orderBy("event_id")).cast("long") * 100
-    return t.events.select("event_id", F.floor(done / F.count("*").over(mine)).alias("percent"))
+    rows = numbered(t.events.select("event_id", "user_id"), ["user_id"], ["event_id"], total="total")
+    return rows.select("event_id", F.floor((F.col("number") + 1) * 100 / F.col("total")).alias("percent"))
 
 
 @query("""SELECT lpad(CAST(count(*) AS VARCHAR), 8, ' ') || ' ' || lang || ' document' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END AS line FROM documents GROUP BY lang""")

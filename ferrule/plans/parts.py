@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ferrule.operators import lists, ranges, structures, trees
+from ferrule.operators import companions, lists, ranges, structures, trees
 from ferrule.operators.grammar import Grammar, Rule, parsed
 from ferrule.plans.binaries import _files, _wav
 from ferrule.plans.catalog import query
@@ -126,3 +126,24 @@ s AS (SELECT doc_id, line_no, line, 'start' AS state FROM l WHERE line_no = 1
 SELECT * FROM (SELECT doc_id, line_no, state, CASE {_cases("kind")} END AS kind FROM s) WHERE kind IS NOT NULL""")
 def q_line_grammar(t):
     return parsed(files.text_lines(t.documents, "text", "doc_id"), PROSE, "doc_id").select("doc_id", "line_no", "state", "kind")
+
+
+_NAMED = """(SELECT page_id, 'file:' || regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, CASE page_id % 6 WHEN 0 THEN name WHEN 1 THEN '..\\' || name WHEN 2 THEN './x/../' || name
+  WHEN 3 THEN '..\\..\\.\\..\\..\\' || name WHEN 4 THEN '/top//' || name ELSE 'sub\\.\\' || name || '/..' END AS name
+  FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '([^/]*)$', 1) AS name FROM pages))"""
+
+
+@query(f"""WITH n AS (SELECT page_id, dir, replace(name, '\\', '/') AS name FROM {_NAMED}),
+p AS (SELECT page_id, dir, name, CASE WHEN starts_with(name, '/') THEN name ELSE substr(dir, 6) || '/' || name END AS below FROM n),
+f AS (SELECT page_id, below, list_reduce(list_concat([CAST([] AS VARCHAR[])], list_transform(string_split(below, '/'), lambda x: [x])), lambda a, x: CASE WHEN a = ['?out'] THEN a WHEN x[1] IN ('', '.') THEN a
+  WHEN x[1] = '..' THEN CASE WHEN len(a) = 0 THEN ['?out'] ELSE a[1:len(a) - 1] END ELSE list_concat(a, x) END) AS parts FROM p)
+SELECT page_id, CASE WHEN parts = ['?out'] THEN NULL ELSE 'file:' || CASE WHEN starts_with(below, '/') THEN '/' ELSE '' END || array_to_string(parts, '/') END AS target FROM f""")
+def q_path_resolve(t):
+    path = F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1)
+    last, kind = F.regexp_extract(path, "([^/]*)$", 1), F.col("page_id") % 6
+    name = (
+        F.when(kind == 0, last).when(kind == 1, F.concat(F.lit("..\\"), last)).when(kind == 2, F.concat(F.lit("./x/../"), last))
+        .when(kind == 3, F.concat(F.lit("..\\..\\.\\..\\..\\"), last)).when(kind == 4, F.concat(F.lit("/top//"), last)).otherwise(F.concat(F.lit("sub\\.\\"), last, F.lit("/..")))
+    )
+    folder = F.concat(F.lit("file:"), F.regexp_extract(path, "^(.*)/[^/]*$", 1))
+    return t.pages.select("page_id", companions.resolved(folder, name).alias("target"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ferrule.operators import lists, registry
+from ferrule.operators.ordering import numbered
 from ferrule.plans.catalog import query
 from ferrule.sources import files
 
@@ -98,8 +99,8 @@ def _manifest(t):
         F.when(rest == 9, "; comment").when(rest == 7, F.concat(name, F.lit(" "), digest)).when(rest == 4, F.concat(digest, F.lit("#"), name))
         .when(rest == 3, F.when(F.col("doc_id") % 50 == 43, "short").otherwise(good)).otherwise(F.concat(F.upper(digest), F.lit(" *"), name))
     )
-    number = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long")
-    return t.documents.select(F.col("source").alias("list"), number.alias("line_no"), line.alias("line"))
+    rows = numbered(t.documents.select("source", "doc_id", line.alias("line")), ["source"], ["doc_id"])
+    return rows.select(F.col("source").alias("list"), (F.col("number") + 1).alias("line_no"), "line")
 
 
 @query(_PARSED)
@@ -242,7 +243,8 @@ def q_rename_plan(t):
 @query("""SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY CASE lang WHEN 'fr' THEN 2 WHEN 'de' THEN 1 ELSE 0 END, doc_id)::BIGINT AS place FROM documents""")
 def q_folder_order(t):
     last = F.when(F.col("lang") == "fr", 2).when(F.col("lang") == "de", 1).otherwise(0)
-    return t.documents.select("doc_id", "source", F.row_number().over(Window.partitionBy("source").orderBy(last, "doc_id")).cast("long").alias("place"))
+    rows = numbered(t.documents.select("doc_id", "source", last.alias("turn")), ["source"], ["turn", "doc_id"])
+    return rows.select("doc_id", "source", (F.col("number") + 1).alias("place"))
 
 
 @query("SELECT md5(text) AS digest, min(doc_id)::BIGINT AS first_doc FROM documents GROUP BY 1")

@@ -45,7 +45,7 @@ def wav(samples):
 
 
 def flac(audio):
-    head = b"fLaC\x80" + (34).to_bytes(3, "big") + bytes(34)
+    head = b"fLaC\0" + (34).to_bytes(3, "big") + bytes(34) + b"\x81\0\0\0"
     return head + audio, audio, head
 
 
