@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.operators import companions, issues, logs, ranges, registry, repair, structures
+from ferrule.operators import companions, edits, issues, logs, ranges, registry, repair, structures
 from ferrule.operators.rules import Rule
 from ferrule.options import Hashes, Options, Severity, Tag
 from ferrule.sources import files as source
@@ -20,6 +20,10 @@ BROADCAST_BYTES = 16 << 20
 LIMITS = {"log": 250_000, "m3u": 524_288, "m3u8": 524_288, "cue": 524_288, "gif": 50_000_000, "ico": 50_000_000, "jpg": 50_000_000, "jpeg": 50_000_000, "png": 100_000_000, "mp3": 2_147_483_647}
 
 
+#: Faults that have a rule and a repair of their own: the first always, the others where the tag's size is at fault.
+MENDED = ["phantom ID3v1", "dead bytes dead", "missing audio audio"]
+
+
 def checked(files: DataFrame, hashes: Hashes = Hashes.NONE) -> DataFrame:
     """files with format, is_misnamed, what their structure says, the watermark verdict, and the digests asked for.
 
@@ -33,6 +37,9 @@ def checked(files: DataFrame, hashes: Hashes = Hashes.NONE) -> DataFrame:
     out = structures.walked(first)
     out = out.withColumns(structures.checks(F.col("pieces"))).withColumn("media", ranges.media(F.col("format"), F.col("pieces"), F.col("content"), F.col("size")))
     out = out.withColumn("watermark", F.when(F.col("valid_size").isNotNull(), repair.watermark(F.col("content"), F.col("valid_size"), F.col("size"))))
+    out = out.withColumns({"bloat": edits.padding(F.col("format"), F.col("pieces")), "tag_over": edits.oversized_tag(F.col("format"), F.col("content")), "splices": edits.own_splices()})
+    mended = F.when(F.col("tag_over"), F.array(*(F.lit(x) for x in MENDED))).otherwise(F.array(F.lit(MENDED[0])))
+    out = out.withColumn("is_phantom", F.coalesce(F.array_contains("faults", MENDED[0]), F.lit(False))).withColumn("faults", F.array_except("faults", mended))
     fatal = F.coalesce(F.size("faults") > 0, F.lit(False)) | F.col("oversized")
     parts = ranges.digests(F.col("content"), F.col("media"), F.col("size"))
     sound = F.when(F.col("format") == "wav", ranges.gathered(F.col("content"), F.col("media")))
@@ -56,6 +63,10 @@ def rules() -> list[Rule]:
         Rule(F.exists("faults", lambda f: ~F.startswith(f, F.lit("truncated"))), F.concat(F.lit("Faults: "), F.array_join("faults", ", ")), Severity.ERROR),
         Rule(F.col("n_bad") > 0, F.concat(F.lit("Checksum failed on "), F.col("n_bad").cast("string"), F.lit(" of "), F.col("n_checked").cast("string")), Severity.ERROR, Tag.FAILURE),
         Rule((F.col("n_checked") > 0) & (F.col("n_bad") == 0), F.lit("Checksums hold"), Severity.NOISE, Tag.SUCCESS),
+        Rule(F.col("is_phantom"), F.lit("Has phantom ID3v1 tag block."), Severity.WARNING, Tag.HAS_ID3V1, repair="phantom"),
+        Rule(F.col("tag_over"), F.lit("ID3v2 tag size over by 1."), Severity.WARNING, Tag.STRICT_ERR, repair="tag size"),
+        Rule(F.col("bloat.keep") >= 0, F.concat(F.lit("Artwork+padding consume "), F.col("bloat.total").cast("string"), F.lit(" bytes.")), Severity.TRIVIA, Tag.STRICT_WARN, repair="padding"),
+        Rule(F.col("bloat.keep") < 0, F.concat(F.lit("Artwork+padding consume "), F.col("bloat.total").cast("string"), F.lit(" bytes.")), Severity.TRIVIA, Tag.STRICT_ERR),
         Rule(F.col("watermark") == "probable", F.lit("Probable watermark after the end"), Severity.WARNING, repair="trim"),
         Rule(F.col("watermark") == "possible", F.lit("Bytes after the end"), Severity.ADVISORY),
     ]
@@ -111,4 +122,7 @@ def diagnose(spark: SparkSession, options: Options) -> dict[str, DataFrame]:
         F.count("*").alias("total"), F.count_if(F.col("max_level") >= int(Severity.FATAL)).alias("header_errors"),
         F.count_if(F.col("max_level") == int(Severity.ERROR)).alias("data_errors"), F.count_if("is_misnamed").alias("misnamed"),
     )
-    return {"files": files, "issues": told, "rollup": rollup, "plans": repair.plans(sound)}
+    fixable = told.where("repair_kind = 'cue references'").select("path").distinct()
+    sheets = small.where("ext = 'cue'").select("path", "dir", "content").join(sound.select("path"), "path", "left_semi").join(fixable, "path", "left_semi")
+    more = edits.reference_splices(sheets, files.where("format = 'flac'").select("dir", "name"))
+    return {"files": files, "issues": told, "rollup": rollup, "plans": repair.plans(sound, more)}
