@@ -14,12 +14,12 @@ def main(arguments: list[str]) -> int:
     options = parse(arguments)
     spark = session()
     found = diagnose(spark, options)
-    lines = report.issue_lines(found["issues"], options.scope)
+    lines = report.ordered_lines(found["files"], found["issues"], options.scope)
     if options.out:
-        lines.select("path", "line").write.mode("overwrite").csv(options.out, sep="\t")
+        lines.write.mode("overwrite").csv(options.out, sep="\t", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     else:
-        for row in lines.orderBy("path", "idx").toLocalIterator():
-            print(f"{row.path}\n{row.line}")
+        for row in lines.toLocalIterator():  # a partition at a time
+            print(row.line)
     for row in found["rollup"].orderBy("format").collect():  # a row for each format
         print(f"{row.total:8} {row.format or 'unknown'}: {row.header_errors} fatal, {row.data_errors} with errors, {row.misnamed} misnamed")
     return report.exit_code(found["issues"])

@@ -56,7 +56,7 @@ def rules() -> list[Rule]:
     """What is wrong with one file, in the order in which it is reported."""
     return [
         Rule(F.col("oversized"), F.lit("Oversized file"), Severity.FATAL),
-        Rule(F.col("format").isNull(), F.lit("Unknown format"), Severity.TRIVIA),
+        Rule(F.col("format").isNull() & ~F.col("is_hidden"), F.lit("Unknown format"), Severity.TRIVIA),
         Rule(F.col("is_misnamed"), F.concat(F.lit("True file format is "), "format"), Severity.WARNING, repair="rename"),
         Rule(F.col("size") == 0, F.lit("File is empty"), Severity.ERROR),
         Rule(F.exists("faults", lambda f: F.startswith(f, F.lit("truncated"))), F.lit("File truncated or corrupt"), Severity.FATAL),
@@ -86,14 +86,19 @@ def _audit(files: DataFrame, lines: DataFrame, found: DataFrame, level: Callable
     per_folder = companions.folders(graded)
     entries = written(companions.flagged(companions.met(found, files)), "entries")
     sheets = companions.sheets(entries, lines, graded, per_folder)
+    flacs = graded.where("format = 'flac'").join(per_folder.where("n_log = 0").select("dir"), "dir", "left_semi")
+    alone = [Rule(F.lit(True), F.lit("Found .flac file without .log file in same folder."), Severity.NOISE, Tag.STRICT_WARN)]
+    parts = [
+        issues.from_rules(entries.withColumnRenamed("idx", "entry"), companions.entry_rules(), "path", "line_no").drop("line_no"),
+        issues.from_rules(sheets, companions.list_rules(options.repair), "path"), issues.from_rules(flacs, alone, "path"),
+    ]
+    if lines.where("kind = 'log'").isEmpty():
+        return issues.in_phases(*parts)
     facts = written(companions.log_facts(lines), "logs")
     told = issues.from_rules(facts, logs.log_rules(), "path")
     worst = issues.per_path(level(told), "path").select("path", F.col("max_level").alias("log_level"))
     rips = facts.join(graded.select("path", "dir"), "path").join(per_folder, "dir").join(worst, "path", "left").na.fill(0, ["log_level"])
-    flacs = graded.where("format = 'flac'").join(per_folder.where("n_log = 0").select("dir"), "dir", "left_semi")
-    alone = [Rule(F.lit(True), F.lit("Found .flac file without .log file in same folder."), Severity.NOISE, Tag.STRICT_WARN)]
-    parts = [issues.from_rules(sheets, companions.list_rules(options.repair), "path"), told, issues.from_rules(flacs, alone, "path")]
-    parts.insert(0, issues.from_rules(entries.withColumnRenamed("idx", "entry"), companions.entry_rules(), "path", "line_no").drop("line_no"))
+    parts.append(told)
     if options.rip:
         parts.append(issues.from_rules(rips, companions.rip_rules(), "path"))
     return issues.in_phases(*parts)
@@ -108,7 +113,7 @@ def diagnose(spark: SparkSession, options: Options) -> dict[str, DataFrame]:
     if not options.validations:
         found = found.where("false")
     files = checked(_noted(scanned, found), options.hashes)
-    files = written(files.drop("content", "pieces", "wanted", "media"), "files")  # the only pass over contents
+    files = written(files.drop("content", "pieces", "wanted"), "files")  # the only pass over contents
 
     def level(told: DataFrame) -> DataFrame:
         return told.withColumn("level", issues.effective_level(F.col("base_level"), F.col("tags"), int(options.warn), int(options.err)))
@@ -116,7 +121,7 @@ def diagnose(spark: SparkSession, options: Options) -> dict[str, DataFrame]:
     told = issues.in_phases(issues.from_rules(files, rules(), "path"), _audit(files, lines, found, level, options).drop("phase"))
     told = written(level(told), "issues")
     worst = issues.per_path(told, "path")
-    each = files.select("path", "format", "is_misnamed").join(worst, "path", "left").na.fill(0, ["max_level"])
+    each = files.where("NOT is_hidden").select("path", "format", "is_misnamed").join(worst, "path", "left").na.fill(0, ["max_level"])
     sound = files.join(worst.where(F.col("max_level") >= int(Severity.ERROR)).select("path"), "path", "left_anti")  # no repair while there are errors
     rollup = each.groupBy("format").agg(
         F.count("*").alias("total"), F.count_if(F.col("max_level") >= int(Severity.FATAL)).alias("header_errors"),

