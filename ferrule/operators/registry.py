@@ -54,6 +54,8 @@ FORMATS: list[tuple[list[str], str, list[list[tuple[int, str]]]]] = [
 ]
 
 
+#: Fixed value: the rule that is a mask of bits.
+SYNC = [(0, "FFE2")]
 #: Fixed value: formats that only files of one name have.
 NAMES = {"db (Thumbs)": "thumbs.db"}
 
@@ -72,9 +74,16 @@ def long_name(names: list[str], sub: str) -> str:
     return "/".join(names) + (f" ({sub})" if sub else "")
 
 
+def accepts(head: Column, places: Column, marks: Column) -> Column:
+    """Whether all marks stand at their places, both given as columns; the MPEG audio sync is a mask of bits instead of bytes."""
+    sync = (F.size(marks) == 1) & (F.hex(F.get(marks, F.lit(0))) == "FFE2")
+    plain = F.forall(F.arrays_zip(places.alias("p"), marks.alias("m")), lambda x: F.substring(head, x["p"] + 1, F.length(x["m"])) == x["m"])
+    return F.when(sync, _fits(head, SYNC)).otherwise(plain)
+
+
 def _fits(head: Column, rule: list[tuple[int, str]]) -> Column:
     """Whether all marks of a rule stand at their places; the MPEG audio sync is a mask of bits instead of bytes."""
-    if rule == [(0, "FFE2")]:
+    if rule == SYNC:
         byte = lambda i: F.conv(F.hex(F.substring(head, i, 1)), 16, 10).cast("int")
         return F.coalesce((byte(1) == 0xFF) & (byte(2).bitwiseAND(F.lit(0xE6)) == 0xE2), F.lit(False))
     return reduce(lambda a, b: a & b, (F.substring(head, p + 1, len(h) // 2) == F.lit(bytearray.fromhex(h)) for p, h in rule))
