@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ferrule.functions.checksums import CRCS, crc, crc_column  # noqa: F401 - offered here as well
+
 
 def be_uint(data: Column, at: int | Column, size: int) -> Column:
     """Unsigned big-endian integer of size bytes at a 0-based place, as a long; null beyond the end."""
@@ -61,50 +61,6 @@ def table_lookup(index: Column, values: list) -> Column:
     return F.get(F.array(*(F.lit(v) for v in values)), index)
 
 
-def _crc_table(width: int, poly: int, reflected: bool) -> np.ndarray:
-    """The 256 remainders of a polynomial; poly is given bit-reversed if reflected."""
-    table = np.arange(256, dtype=np.uint64)
-    if reflected:
-        for _ in range(8):
-            table = np.where(table & np.uint64(1), (table >> np.uint64(1)) ^ np.uint64(poly), table >> np.uint64(1))
-    else:
-        top, mask = np.uint64(1 << (width - 1)), np.uint64((1 << width) - 1)
-        table = table << np.uint64(width - 8)
-        for _ in range(8):
-            table = np.where(table & top, ((table << np.uint64(1)) ^ np.uint64(poly)) & mask, (table << np.uint64(1)) & mask)
-    return table
-
-
-def crc(data: bytes, width: int, poly: int, reflected: bool) -> int:
-    """Remainder of data, initial value 0 and no final inversion."""
-    table = _tables.setdefault((width, poly, reflected), _crc_table(width, poly, reflected).tolist())
-    out, mask, shift = 0, (1 << width) - 1, width - 8
-    if reflected:
-        for b in data:
-            out = out >> 8 ^ table[(out ^ b) & 255]
-    else:
-        for b in data:
-            out = (out << 8 ^ table[out >> shift ^ b]) & mask
-    return out
-
-
-_tables: dict[tuple[int, int, bool], list[int]] = {}
-
-#: Width, polynomial and whether it is reflected, of each checksum beside the built-in crc32().
-CRCS = {"crc8": (8, 0x07, False), "crc16n": (16, 0x8005, False), "crc16r": (16, 0xA001, True), "crc32n0": (32, 0x04C11DB7, False)}
-
-
-def crc_column(kind: str, data: Column) -> Column:
-    """A checksum of a binary column; null of null."""
-    width, poly, reflected = CRCS[kind]
-
-    @F.pandas_udf("long")
-    def compute(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else crc(v, width, poly, reflected)).astype("Int64")
-
-    return compute(data)
-
-
 def read_varint(data: bytes, at: int = 0) -> tuple[int | None, int]:
     """(value, bytes) of an extended UTF-8 number of up to 36 bits; value None if the bytes are no such number."""
     if at >= len(data):

@@ -106,7 +106,7 @@ def _audit(files: DataFrame, lines: DataFrame, found: DataFrame, level: Callable
 
 def diagnose(spark: SparkSession, options: Options) -> dict[str, DataFrame]:
     """files (without their content), issues (with level), rollup by format, and repair plans of a run; stored where they are used again."""
-    scanned = source.scan(spark, options.root, options.glob, options.exclude)
+    scanned = source.scan(spark, options.root, options.glob, options.exclude, LIMITS)
     small = source.capped(scanned.where(F.col("ext").isin(companions.KINDS)), LIMITS)
     lines = written(companions.texts(registry.identify(small)), "lines")
     found = written(companions.entries(lines), "found")

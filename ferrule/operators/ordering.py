@@ -41,6 +41,21 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], number: str =
     return out.withColumns(made).select(*rows.columns, *made)
 
 
+def summed(rows: DataFrame, group: list[str], order: list[str], value: str, before: str = "before") -> DataFrame:
+    """rows with before: the sum of value (null: 0) over the rows of the group that come earlier by order.
+
+    As in numbered(), ranges of (group, order) are summed apart and the totals of ranges, one row for each group of each range,
+    are summed in turn. Rows that agree in group and order get different places, in no stated order. No rows give no rows.
+    """
+    sized = F.coalesce(F.col(value), F.lit(0)).cast("long")
+    placed = written(rows.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "placed")
+    totals = placed.groupBy(*group, "_part").agg(F.sum(sized).alias("_sum"))
+    totals = totals.withColumn("_start", F.sum("_sum").over(Window.partitionBy(*group).orderBy("_part")) - F.col("_sum")).drop("_sum")
+    within = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = placed.withColumn("_inner", F.coalesce(F.sum(sized).over(within), F.lit(0)))
+    return _matched(inner, totals, [*group, "_part"]).withColumn(before, F.col("_start") + F.col("_inner")).select(*rows.columns, before)
+
+
 def _matched(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Inner join on columns that may be null; keeps the columns of left and what right adds."""
     far = right.toDF(*(f"_r_{c}" if c in on else c for c in right.columns))

@@ -42,7 +42,7 @@ def tag_text(value: Column) -> Column:
 
 def missing_keys(things: DataFrame, values: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """(on, key) of required keys (a small table of key and is_optional) that a thing has no value for."""
-    asked = things.withColumn("key", F.explode(F.lit([r.key for r in keys.where("not is_optional").collect()])))
+    asked = things.withColumn("key", F.explode(keys.where("not is_optional").agg(F.collect_list("key")).scalar()))
     return asked.join(values.where("value is not null"), [on, "key"], "left_anti").select(on, "key")
 
 

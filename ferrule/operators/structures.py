@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.functions.bytesfn import CRCS, crc, read_varint, read_vint
+from ferrule.functions.bytesfn import read_varint, read_vint
+from ferrule.functions.checksums import CRCS, crc
 
 Piece = tuple[int, str, int, int, int | None, int | None, str | None]
 Walker = Callable[[bytes], Iterator[Piece]]

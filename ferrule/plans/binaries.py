@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ferrule.functions import bytesfn as b
-from ferrule.operators import headers, registry, repair, structures
-from ferrule.plans.catalog import big, query
+from ferrule.functions import checksums
+from ferrule.operators import headers, ordering, registry, repair, structures
+from ferrule.plans.catalog import big, crc_sql, crc_tables_sql, query
 
 
 def _hex(text: str) -> Column:
@@ -127,7 +128,7 @@ def q_ogg_pages(t):
     lacing = F.concat(F.expr("unhex(repeat('FF', cast(length(body) div 255 as int)))"), _be(F.length("body") % 255, 1))
     head = F.concat(F.lit("OggS").cast("binary"), _hex("0000"), _hex("0000000000000000"), _le(F.lit(7), 4), _le(F.col("n"), 4))
     tail = F.concat(_be(F.length(lacing), 1), lacing, F.col("body"))
-    crc = b.crc_column("crc32n0", F.concat(head, _hex("00000000"), tail))
+    crc = checksums.crc_column("crc32n0", F.concat(head, _hex("00000000"), tail))
     pages = rows.select("doc_id", "n", F.lit("ogg").alias("format"), F.concat(head, _le(crc, 4), tail).alias("content"))
     got = structures.summary(structures.structures(pages, "doc_id", "n"), "doc_id", "n")
     return got.groupBy("doc_id").agg(F.sum("n_checked").alias("n_checked"), F.sum("n_bad").alias("n_bad"), F.sum("valid_size").alias("size"))
@@ -157,6 +158,33 @@ def q_mpeg_header(t):
     return got.select("p_partkey", "h.version", big("h.layer", "layer"), big("h.kbps", "kbps"), big("h.rate", "rate"), "h.mode")
 
 
-@query()
+_WIDTHS = [checksums.CRCS[k] for k in ("crc8", "crc16n", "crc16r")]
+
+
+@query(f"""SELECT doc_id, {", ".join(f"{crc_sql('encode(text)', *checksums.CRCS[k])} AS {k}" for k in ("crc8", "crc16n", "crc16r"))} FROM documents, {crc_tables_sql(*_WIDTHS)}""")
 def q_crcs(t):
-    return t.documents.select("doc_id", *(b.crc_column(k, _text()).alias(k) for k in ("crc8", "crc16n", "crc16r")))
+    return t.documents.select("doc_id", *(checksums.crc_column(k, _text()).alias(k) for k in ("crc8", "crc16n", "crc16r")))
+
+
+def _lines_as_pieces(t) -> DataFrame:
+    """Each text as rows of one line with its line feed, by the bytes that they hold; the line number is no part of it."""
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"), F.size(F.split("text", "\n")).alias("n"))
+    piece = F.when(F.col("i") + 1 < F.col("n"), F.concat("line", F.lit("\n"))).otherwise(F.col("line")).cast("binary")
+    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    rows = lines.select("doc_id", "i", piece.alias("piece"), F.length(piece).cast("long").alias("size"))
+    return rows.withColumn("pos", F.coalesce(F.sum("size").over(before), F.lit(0).cast("long")))
+
+
+@query(f"""SELECT doc_id, strlen(text)::BIGINT AS size, 0::BIGINT AS n_missing, xor({crc_sql("encode(text)", *checksums.MERGED["crc32"], start=4294967295)}, 4294967295) AS crc
+FROM documents, {crc_tables_sql(checksums.MERGED["crc32"])} WHERE text IS NOT NULL""")
+def q_crc32_merged(t):
+    pieces = _lines_as_pieces(t).select("doc_id", "pos", "size", F.crc32("piece").alias("crc"))
+    return checksums.merged(pieces, "crc32", "doc_id")
+
+
+@query(f"""SELECT source, sum(strlen(text))::BIGINT AS size, 0::BIGINT AS n_missing, {crc_sql("encode(string_agg(text, '' ORDER BY doc_id))", *checksums.CRCS["crc16n"])} AS crc
+FROM (SELECT source, text, doc_id FROM documents WHERE text IS NOT NULL), {crc_tables_sql(checksums.CRCS["crc16n"])} GROUP BY source, t{checksums.CRCS["crc16n"][1]}""")
+def q_crc16_merged(t):
+    """One checksum of all texts of a source, as if they were one file: places by prefix sums, pieces in any order."""
+    told = t.documents.where("text is not null").select("source", "doc_id", F.octet_length("text").cast("long").alias("size"), checksums.crc_column("crc16n", _text()).alias("crc"))
+    return checksums.merged(ordering.summed(told, ["source"], ["doc_id"], "size", "pos"), "crc16n", "source")

@@ -53,3 +53,24 @@ def issues(t: Tables) -> DataFrame:
         F.col("user_id").alias("path"), F.col("event_id").alias("idx"), level.alias("base_level"),
         F.get_json_object("props", "$.k").cast("int").alias("tags"), F.when(F.col("value") > 150, "trim").alias("repair_kind"), "event_type", "value",
     )
+
+
+def crc_sql(data: str, width: int, poly: int, reflected: bool, start: int = 0) -> str:
+    """SQL for a checksum of a blob: a fold over its bytes with the table of remainders, a column of crc_tables."""
+    octets = f"list_prepend({start}::BIGINT, list_transform(regexp_extract_all(hex({data}), '..'), lambda x: ('0x' || x)::BIGINT))"
+    if reflected:
+        step = f"xor(s >> 8, t{poly}[(xor(s, x) & 255) + 1])"
+    else:
+        step = f"xor(s << 8, t{poly}[xor(s >> {width - 8}, x) + 1]) & {(1 << width) - 1}"
+    return f"list_reduce({octets}, lambda s, x: {step})"
+
+
+def crc_tables_sql(*specs: tuple[int, int, bool]) -> str:
+    """SQL for crc_tables: one row with the tables of polynomials (width, poly, reflected), made bit by bit."""
+    parts = []
+    for width, poly, reflected in specs:
+        first = "i" if reflected else f"i << {width - 8}"
+        on = f"CASE WHEN s & 1 = 1 THEN xor(s >> 1, {poly}) ELSE s >> 1 END" if reflected else f"CASE WHEN s >> {width - 1} = 1 THEN xor(s << 1, {poly}) & {(1 << width) - 1} ELSE s << 1 END"
+        parts.append(f"""(WITH RECURSIVE b AS (SELECT i, 0 AS n, ({first})::BIGINT AS s FROM (SELECT unnest(range(256)) AS i)
+  UNION ALL SELECT i, n + 1, {on} FROM b WHERE n < 8) SELECT list(s ORDER BY i) FROM b WHERE n = 8) AS t{poly}""")
+    return f"(SELECT {', '.join(parts)}) AS crc_tables"

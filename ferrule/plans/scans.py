@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ferrule.functions import checksums
 from ferrule.operators import lists, registry
 from ferrule.operators.ordering import numbered
-from ferrule.plans.catalog import query
+from ferrule.plans.catalog import crc_sql, crc_tables_sql, query
 from ferrule.sources import files
 
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
@@ -210,7 +211,7 @@ _digest("q_sha1", F.sha1, "sha1")
 _digest("q_sha256", lambda c: F.sha2(c, 256), "sha256")
 
 
-@query()
+@query(f"SELECT doc_id, xor({crc_sql('encode(text)', *checksums.MERGED['crc32'], start=4294967295)}, 4294967295) AS crc FROM documents, {crc_tables_sql(checksums.MERGED['crc32'])}")
 def q_crc32(t):
     return t.documents.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"))
 
