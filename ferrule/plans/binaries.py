@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ferrule.functions import checksums
-from ferrule.operators import headers, ordering, registry, repair, structures
+from ferrule.operators import headers, layouts, ordering, registry, repair, structures
 from ferrule.plans.catalog import big, crc_sql, crc_tables_sql, query
 
 
@@ -188,3 +188,17 @@ def q_crc16_merged(t):
     """One checksum of all texts of a source, as if they were one file: places by prefix sums, pieces in any order."""
     told = t.documents.where("text is not null").select("source", "doc_id", F.octet_length("text").cast("long").alias("size"), checksums.crc_column("crc16n", _text()).alias("crc"))
     return checksums.merged(ordering.summed(told, ["source"], ["doc_id"], "size", "pos"), "crc16n", "source")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+g AS (SELECT doc_id, i, strlen(line) % 2 AS k, strlen(line) + CASE strlen(line) % 2 WHEN 1 THEN 8 ELSE 5 END AS size, i - row_number() OVER (PARTITION BY doc_id, strlen(line) % 2 ORDER BY i) AS run FROM l),
+r AS (SELECT doc_id, k, min(i) AS first, count(*) AS n, sum(size) AS size FROM g GROUP BY doc_id, k, run)
+SELECT doc_id, '|' || string_agg(' ' || CASE k WHEN 1 THEN 'Cluster' ELSE 'Void' END || CASE WHEN n > 1 THEN '*' || n ELSE '' END || ' (' || size || ') |', '' ORDER BY first) AS layout FROM r GROUP BY doc_id""")
+def q_layout(t):
+    """A Matroska file of each text: lines of odd length are clusters, others void elements."""
+    sized = lambda n: F.lpad(F.hex(n + F.lit(1 << 28)), 8, "0")
+    element = lambda line: F.concat(F.when(F.octet_length(line) % 2 == 1, "1F43B675").otherwise("EC"), sized(F.octet_length(line)), F.hex(line))
+    inner = F.array_join(F.transform(F.split("text", "\n"), element), "")
+    file = F.concat(_hex("1A45DFA3" "10000007" "4282" "84" "7765626D"), _hex("18538067"), F.unhex(sized((F.length(inner) / 2).cast("int"))), F.unhex(inner))
+    made = _files(t, "mkv", file).where("content is not null")
+    return structures.walked(made).select("doc_id", layouts.layout(F.col("format"), F.col("pieces")).alias("layout"))
