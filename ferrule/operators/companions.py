@@ -149,6 +149,37 @@ def folders(files: DataFrame) -> DataFrame:
     )
 
 
+def with_encoders(rips: DataFrame, files: DataFrame) -> DataFrame:
+    """rips (path, dir, n_tracks, n_log, n_flac, n_mp3) with first_profile, is_mixed and at_fault, of MP3 files (dir, name, format, level, profile).
+
+    They are told only where a folder's only log has as many tracks as there are MP3 files, so a list of files is as long as a
+    log, whose size is capped. first_profile: that of the first file by name, null without an encoder's block, and elsewhere.
+    is_mixed: another file has another profile, or none. at_fault: places from 1 of the files with errors, or with warnings
+    if there are no errors.
+    """
+    asked = rips.where("n_log = 1 AND n_flac = 0 AND n_mp3 > 0 AND n_mp3 = n_tracks").select("path", "dir")
+    tracks = files.where("format = 'mp3'").select("dir", "name", "level", "profile").join(asked, "dir")
+    told = tracks.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("name", "level", "profile"))).alias("_files"), F.max("level").alias("_worst"))
+    first = F.get("_files", 0)["profile"]
+    told = told.withColumns({
+        "first_profile": first, "is_mixed": first.isNotNull() & F.exists("_files", lambda f: ~f["profile"].eqNullSafe(first)),
+        "_least": F.when(F.col("_worst") >= int(Severity.ERROR), int(Severity.ERROR)).when(F.col("_worst") == int(Severity.WARNING), int(Severity.WARNING)),
+    })
+    places = F.transform("_files", lambda f, i: F.when(f["level"] >= F.col("_least"), i + 1))
+    told = told.withColumn("at_fault", F.filter(places, lambda i: i.isNotNull()))
+    return rips.join(told.select("path", "first_profile", "is_mixed", "at_fault"), "path", "left").na.fill(False, ["is_mixed"])
+
+
+def encoder_rules(paired: Column) -> list[Rule]:
+    """What the encoders and the faults of a rip's MP3 files come to; over with_encoders()."""
+    listed = F.array_join(F.transform("at_fault", lambda i: _text("#", i)), ", ")
+    return [
+        Rule(paired & F.col("is_mixed"), F.lit("Inconsistent MP3 encoder settings."), Severity.WARNING, Tag.STRICT_ERR),
+        Rule(paired & ~F.col("is_mixed") & F.col("first_profile").isNotNull(), _text("MP3 rip profile is ", F.col("first_profile"), "."), Severity.ADVISORY),
+        Rule(paired & (F.size("at_fault") > 0), _text("File issues on MP3 ", listed, "."), F.when(F.col("mp3_level") >= int(Severity.ERROR), int(Severity.ERROR)).otherwise(int(Severity.WARNING))),
+    ]
+
+
 def rip_rules() -> list[Rule]:
     """What a log and its folder's audio come to together; over facts of logs with those of folders and log_level."""
     n, flac, mp3 = F.col("n_tracks"), F.col("n_flac"), F.col("n_mp3")
@@ -162,11 +193,13 @@ def rip_rules() -> list[Rule]:
     for name, count, level, checked, unchecked in (("FLAC", flac, "flac_level", "n_checked_flac", "FLAC intrinsic CRC checks not performed."), ("MP3", mp3, "mp3_level", "n_checked_mp3", "Track CRC checks not performed.")):
         here, worst = alone & (count > 0), F.greatest(F.col(level), F.col("log_level"))
         paired = here & (count == n)
-        missing = F.when(F.col(checked) < count, int(Severity.WARNING)).otherwise(int(Severity.NONE))
+        short = F.col(checked) < count if name == "FLAC" else (F.col(checked) < count) | F.col("is_mixed")
+        missing = F.when(short, int(Severity.WARNING)).otherwise(int(Severity.NONE))
         verdict = F.greatest(worst, missing)
         out += [
             Rule(here & (count != n), _text("Folder contains ", count, f" .{name.lower()} files, log contains ", n, " tracks."), Severity.ERROR),
             Rule(paired & (F.col(checked) < count), F.lit(unchecked), Severity.WARNING, Tag.STRICT_ERR),
+            *(encoder_rules(paired) if name == "MP3" else []),
             Rule((here & (count != n)) | (paired & (verdict >= int(Severity.ERROR))), F.lit(f"{name} rip check failed."), F.greatest(verdict, F.lit(int(Severity.ERROR))), Tag.FAILURE),
             Rule(paired & (verdict == int(Severity.WARNING)), F.lit(f"{name} rip check successful with warnings."), Severity.WARNING, Tag.SUCCESS),
             Rule(paired & (verdict < int(Severity.WARNING)), F.lit(f"{name} rip check successful."), Severity.ADVISORY, Tag.SUCCESS),

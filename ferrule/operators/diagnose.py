@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.operators import companions, edits, issues, logs, ranges, registry, repair, structures
+from ferrule.operators import companions, edits, headers, issues, logs, ranges, registry, repair, structures
 from ferrule.operators.rules import Rule
 from ferrule.options import Hashes, Options, Severity, Tag
 from ferrule.sources import files as source
@@ -38,6 +38,7 @@ def checked(files: DataFrame, hashes: Hashes = Hashes.NONE) -> DataFrame:
     out = out.withColumns(structures.checks(F.col("pieces"))).withColumn("media", ranges.media(F.col("format"), F.col("pieces"), F.col("content"), F.col("size")))
     out = out.withColumn("watermark", F.when(F.col("valid_size").isNotNull(), repair.watermark(F.col("content"), F.col("valid_size"), F.col("size"))))
     out = out.withColumns({"bloat": edits.padding(F.col("format"), F.col("pieces")), "tag_over": edits.oversized_tag(F.col("format"), F.col("content")), "splices": edits.own_splices()})
+    out = out.withColumn("profile", F.when(F.col("format") == "mp3", headers.lame_profile(F.col("content"), F.col("pieces"))))
     mended = F.when(F.col("tag_over"), F.array(*(F.lit(x) for x in MENDED))).otherwise(F.array(F.lit(MENDED[0])))
     out = out.withColumn("is_phantom", F.coalesce(F.array_contains("faults", MENDED[0]), F.lit(False))).withColumn("faults", F.array_except("faults", mended))
     fatal = F.coalesce(F.size("faults") > 0, F.lit(False)) | F.col("oversized")
@@ -82,7 +83,7 @@ def _noted(files: DataFrame, found: DataFrame) -> DataFrame:
 def _audit(files: DataFrame, lines: DataFrame, found: DataFrame, level: Callable[[DataFrame], DataFrame], options: Options) -> DataFrame:
     """Issues of lists, playlists, cue sheets and logs, and of what a folder holds beside them; path and what from_rules() gives."""
     own = issues.per_path(level(issues.from_rules(files, rules(), "path")), "path").select("path", F.col("max_level").alias("level"))
-    graded = written(files.select("path", "dir", "name", "format", "n_checked", "oversized").join(own, "path", "left").na.fill(0, ["level"]), "graded")
+    graded = written(files.select("path", "dir", "name", "format", "n_checked", "oversized", "profile").join(own, "path", "left").na.fill(0, ["level"]), "graded")
     per_folder = companions.folders(graded)
     entries = written(companions.flagged(companions.met(found, files)), "entries")
     sheets = companions.sheets(entries, lines, graded, per_folder)
@@ -98,6 +99,7 @@ def _audit(files: DataFrame, lines: DataFrame, found: DataFrame, level: Callable
     told = issues.from_rules(facts, logs.log_rules(), "path")
     worst = issues.per_path(level(told), "path").select("path", F.col("max_level").alias("log_level"))
     rips = facts.join(graded.select("path", "dir"), "path").join(per_folder, "dir").join(worst, "path", "left").na.fill(0, ["log_level"])
+    rips = companions.with_encoders(rips, graded)
     parts.append(told)
     if options.rip:
         parts.append(issues.from_rules(rips, companions.rip_rules(), "path"))
